@@ -243,8 +243,9 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document holds no benchmark item."""
-    found = leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    # Written first, so that the join knows its size: it is broadcast only when small.
+    found = scratch.materialize(leaks(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")
+    return docs.join(found, docs["doc_id"] == found["_leaked"], "left_anti")
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidegraph.llm import decontaminate, knn, language, line_dedup, minhash, quality
+from tidegraph.llm import decontaminate, knn, language, line_dedup, minhash, pieces, quality
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_minhash_dedup": minhash.op2_minhash_dedup,
+    "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_language_id": language.op5_language_id,
     "op8_quality_classifier": knn.op8_quality_classifier,
