@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidegraph.llm import decontaminate, knn, language, line_dedup, minhash, pieces, quality
+from tidegraph.llm import decontaminate, gru_lm, knn, language, line_dedup, minhash, pieces, quality
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_language_id": language.op5_language_id,
     "op8_quality_classifier": knn.op8_quality_classifier,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_lm_scoring": gru_lm.op10_lm_scoring,
 }
 
 ORACLE_SQL = {
