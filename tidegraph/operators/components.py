@@ -61,3 +61,101 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     labels = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return labels.unionByName(roots).unionByName(loops).groupBy("node").agg(F.min("component").alias("component"))
+
+
+#: Edges up to which all snapshots' components are found in one task.
+ONE_TASK_EDGES = 5_000_000
+
+
+def renumbered(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(node_id, comp_id)``: components 0, 1, ... in the order of their first node; isolated nodes included."""
+    from tidegraph.operators.numbering import positions
+
+    root = nodes.select("node_id").join(labels, nodes["node_id"] == labels["node"], "left").select("node_id", F.coalesce("component", "node_id").alias("root"))
+    ids = positions(root.where("root = node_id").select("root"), ["root"], "comp_id")
+    return root.join(ids, "root").select("node_id", "comp_id")
+
+
+def wcc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(node_id, comp_id)`` of a graph, direction ignored."""
+    return renumbered(nodes, connected_components(edges))
+
+
+def size_distribution(labels: DataFrame) -> DataFrame:
+    """``(size, num_comp)`` from ``(node_id, comp_id)``."""
+    return labels.groupBy("comp_id").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("num_comp"))
+
+
+def _merge(label, a, b):
+    """Union the ends of edges in a label array, smallest id first; all edges in step."""
+    import numpy as np
+
+    while len(a):
+        x, y = label[a], label[b]
+        open_ = x != y
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        if not len(a):
+            break
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label[:] = up
+    return label
+
+
+def _one_task_sizes(key, nodes, edges):
+    import numpy as np
+    import pandas as pd
+
+    ids = np.sort(nodes["node_id"].to_numpy())
+    order = np.argsort(nodes["node_id"].to_numpy(), kind="stable")
+    born = nodes["chunk_id"].to_numpy()[order]
+    src, dst = np.searchsorted(ids, edges["src"].to_numpy()), np.searchsorted(ids, edges["dst"].to_numpy())
+    when = edges["chunk_id"].to_numpy()
+    label, out = np.arange(len(ids)), []
+    for k in range(1, int(born.max()) + 1 if len(born) else 1):
+        now = when == k
+        label = _merge(label, src[now], dst[now])
+        size = np.bincount(label[born <= k], minlength=1)
+        value, count = np.unique(size[size > 0], return_counts=True)
+        out.append(pd.DataFrame({"chunk_id": k, "size": value, "num_comp": count}))
+    return pd.concat(out) if out else pd.DataFrame({"chunk_id": [], "size": [], "num_comp": []}).astype("int64")
+
+
+def size_series(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(chunk_id, size, num_comp)`` of every cumulative snapshot.
+
+    A snapshot's components come from the last one's: only new edges, taken between the
+    components they join, are contracted.  A graph counted to be small is done in one task.
+    """
+    scratch.ship_package(nodes.sparkSession)
+    if edges.count() + nodes.count() <= ONE_TASK_EDGES:
+        n = nodes.select(F.lit(1).alias("one"), "node_id", F.col("chunk_id").cast("long").alias("chunk_id"))
+        e = edges.select(F.lit(1).alias("one"), "src", "dst", F.col("chunk_id").cast("long").alias("chunk_id"))
+        return n.groupBy("one").cogroup(e.groupBy("one")).applyInPandas(_one_task_sizes, "chunk_id long, size long, num_comp long").withColumn("chunk_id", F.col("chunk_id").cast("int"))
+    last = nodes.agg(F.max("chunk_id")).first()[0] or 0
+    labels, out = None, None
+    for k in range(1, last + 1):
+        new = nodes.where(F.col("chunk_id") == k).select("node_id", F.col("node_id").alias("root"))
+        labels = new if labels is None else labels.unionByName(new)
+        fresh = edges.where(F.col("chunk_id") == k)
+        joined = fresh.join(labels.select(F.col("node_id").alias("src"), F.col("root").alias("u")), "src").join(labels.select(F.col("node_id").alias("dst"), F.col("root").alias("v")), "dst")
+        parts = connected_components(joined.select("u", "v").distinct(), "u", "v")
+        labels = labels.join(parts, labels["root"] == parts["node"], "left").select("node_id", F.coalesce("component", "root").alias("root"))
+        labels = scratch.materialize(labels, f"labels{k}")
+        sizes = size_distribution(labels.withColumnRenamed("root", "comp_id")).select(F.lit(k).alias("chunk_id"), "size", "num_comp")
+        sizes = scratch.materialize(sizes, "sizes")
+        out = sizes if out is None else out.unionByName(sizes)
+    return out
+
+
+def connectivity(sizes: DataFrame, evolved: DataFrame) -> DataFrame:
+    """Giant component, isolated nodes and their shares, per snapshot."""
+    rows = sizes.groupBy("chunk_id").agg(
+        F.sum("num_comp").alias("components"), F.max("size").alias("giant"), F.coalesce(F.sum(F.when(F.col("size") == 1, F.col("num_comp"))), F.lit(0)).alias("isolated")
+    )
+    rows = evolved.select("chunk_id", "nodes").join(rows, "chunk_id", "left")
+    share = lambda c: F.try_divide(F.col(c) * F.lit(100.0), F.col("nodes"))
+    return rows.select("chunk_id", "nodes", "components", "giant", "isolated", share("giant").alias("coverage"), share("isolated").alias("isolated_pct"))

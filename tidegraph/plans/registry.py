@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tidegraph.plans.queries import QUERIES
+from tidegraph.plans.sql import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
