@@ -217,7 +217,9 @@ def _spans(part: pa.RecordBatch, model: Model | None) -> pa.RecordBatch:
         label = viterbi(words, first)
         for i in range(part.num_rows):
             own = label[first[i] : first[i + 1]]
-            cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else []
+            if not len(own):
+                continue
+            cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             out[i] = [{"first_word": int(a), "words": int(b - a), "lang": model.langs[own[a]]} for a, b in zip(cut, [*cut[1:], len(own)], strict=True)]
     kind = pa.list_(pa.struct([("first_word", pa.int64()), ("words", pa.int64()), ("lang", pa.string())]))
     return pa.RecordBatch.from_arrays([part.column(0), pa.array(out, kind)], ["doc_id", "spans"])

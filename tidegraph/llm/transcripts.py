@@ -190,6 +190,8 @@ def _decode_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for conv, _, items, before, after in zip(*cols, strict=True):
             lines, turns = _lines(items)
             seen, texts, places = _observe(lines)
+            if not texts:
+                continue
             states = decode(seen, None if before is None else np.array(before), np.zeros(_N) if after is None else np.array(after))
             cut = [i for i in range(len(states)) if i == 0 or states[i] % 2 == 0]
             for a, b in zip(cut, [*cut[1:], len(states)], strict=True):
