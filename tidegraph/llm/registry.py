@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidegraph.llm import decontaminate, gru_lm, knn, language, line_dedup, minhash, pieces, quality, transcripts
+from tidegraph.llm import decontaminate, gru_lm, knn, language, line_dedup, minhash, pieces, quality, suffixes, transcripts
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_language_id": language.op5_language_id,
+    "op6_suffix_dedup": suffixes.op6_suffix_dedup,
     "op7_chat_format": transcripts.op7_chat_format,
     "op8_quality_classifier": knn.op8_quality_classifier,
     "op9_line_dedup": line_dedup.op9_line_dedup,
