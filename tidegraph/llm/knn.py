@@ -1,7 +1,7 @@
 """Quality classifier: votes of the nearest labelled texts in a latent-semantic space.
 
-A text is its hashed character trigrams (case kept, white space as one mark), log-scaled
-and weighted by the document frequencies of all texts.  The space is spanned by the
+A text is its hashed character trigrams (case kept, white space as one mark) and the share of
+its words that repeat the word before, log-scaled and weighted by the document frequencies of all texts.  The space is spanned by the
 leading singular vectors of at most ``SAMPLE`` labelled texts (a documented bound: those
 of smallest hash of their id).  Their vectors, at most ``SAMPLE`` x ``RANK`` floats, are
 broadcast; every text is projected and its cosines with all of them are computed in
@@ -26,6 +26,8 @@ from tidegraph import scratch
 from tidegraph.llm import _text
 
 BUCKETS = 8192
+#: So many buckets carry the same word-repeat measure: its weight in the cosine.
+REPEATS = 16
 SAMPLE = 4096
 RANK = 64
 NEIGHBOURS = 25
@@ -33,17 +35,25 @@ CUT = 0.3
 
 
 def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(row, bucket, count)`` of the byte trigrams of each row."""
+    """``(row, bucket, count)`` of the byte trigrams of each row, and in the last ``REPEATS`` buckets
+    the per cent of its words that repeat the word before (A-Z in either case)."""
     if len(data) < 3:
         none = np.zeros(0, np.int64)
         return none, none, none
     x = np.where(_text.SPACE[data], 32, data).astype(np.uint32)
     key = (x[:-2] << np.uint32(16)) | (x[1:-1] << np.uint32(8)) | x[2:]
-    key = (key * np.uint32(0x9E3779B1)) >> np.uint32(19)
+    key = ((key * np.uint32(0x9E3779B1)) >> np.uint32(19)) % np.uint32(BUCKETS - REPEATS)
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))[:-2]
     inside = np.arange(len(key)) + 3 <= at[1:][row]
     flat = row[inside] * BUCKETS + key[inside].astype(np.int64)
     count = np.bincount(flat, minlength=(len(at) - 1) * BUCKETS)
+    low = _text.LOWER[data]
+    starts, ends, first = _text.words(low, at)
+    hashes = _text.word_hashes(low, starts, ends)
+    again = np.concatenate([[0], np.cumsum(np.concatenate([[False], hashes[1:] == hashes[:-1]]))]) if len(hashes) else np.zeros(1, np.int64)
+    inner = np.minimum(first[:-1] + 1, first[1:])  # the first word of a row repeats none
+    share = 100 * (again[first[1:]] - again[inner]) // np.maximum(np.diff(first), 1)
+    count.reshape(len(at) - 1, BUCKETS)[:, BUCKETS - REPEATS :] = share[:, None]
     filled = np.flatnonzero(count)
     return filled // BUCKETS, filled % BUCKETS, count[filled]
 
