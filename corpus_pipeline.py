@@ -18,12 +18,15 @@ from tidegraph.llm import decontaminate, line_dedup, minhash, pieces, quality
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the thresholds of their language and source."""
-    return quality.judged(docs).where("kept").select(docs.columns)
+    used = ("text", "lang", "source")
+    rest = [c for c in docs.columns if c not in used]  # whatever they are called, they go through as they are
+    kept = quality.judged(docs.select(*used, F.struct(*rest).alias("_rest"))).where("kept")
+    return kept.select(*[F.col(c) if c in used else F.col("_rest")[c].alias(c) for c in docs.columns])
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that an earlier one holds; ``n_chars`` follows the text."""
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs, counts=False)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

@@ -88,7 +88,7 @@ def first_holders(lines: DataFrame, batches: int, fanout: int = FANOUT) -> DataF
 
 
 def dropped_lines(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``(_doc, _row, gone)``: for each row that loses lines, their 0-based places."""
+    """``(_doc, _row, _gone)``: for each row that loses lines, their 0-based places."""
     bounds = _batch_bounds(docs, batches)
     batch = F.lit(0)
     for c in bounds:
@@ -103,30 +103,31 @@ def dropped_lines(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_
     lines = scratch.materialize(lines, "lines", partition_by="batch")
     owners = first_holders(lines, len(bounds) + 1)
     lost = lines.join(owners.hint("merge"), ["h1", "h2"]).where("owner < _doc")
-    return lost.groupBy("_doc", "_row").agg(F.collect_set("place").alias("gone"))
+    return lost.groupBy("_doc", "_row").agg(F.collect_set("place").alias("_gone"))
 
 
-def dedup_lines(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CHARS, counts: bool = True) -> DataFrame:
     """The rows of ``docs`` with ``text`` less its repeated lines, ``n_lines`` and ``n_dropped``.
 
     A line of at least ``min_chars`` code points (blanks at its ends aside, A-Z in
     either case) that several documents hold stays only in the one of smallest
-    ``doc_id``.  Columns called ``n_lines`` or ``n_dropped`` are replaced.
+    ``doc_id``.  Columns called ``n_lines`` or ``n_dropped`` are replaced, unless ``counts``
+    is false: then neither is added.
     """
     gone = dropped_lines(docs, batches, min_chars)
     keys = _rows(docs).columns[:2]
     own = docs.withColumn(keys[0], F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn(keys[1], F.xxhash64(F.coalesce("text", F.lit(""))))
     lines = _lines_of(F.col("text"))
     n = F.size(lines)
-    lost = F.coalesce(F.size("gone"), F.lit(0))
-    stay = F.array_except(F.sequence(F.lit(0), n - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(
+    lost = F.coalesce(F.size("_gone"), F.lit(0))
+    stay = F.array_except(F.sequence(F.lit(0), n - 1), F.col("_gone"))
+    text = F.when(F.col("_gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(
         F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n")
     )
-    joined = own.join(gone, keys, "left").withColumn("_lines", F.when(F.col("gone").isNotNull(), lines))
-    return (
-        joined.withColumn("n_lines", n.cast("long")).withColumn("n_dropped", lost.cast("long")).withColumn("text", text).drop(*keys, "gone", "_lines")
-    )
+    joined = own.join(gone, keys, "left").withColumn("_lines", F.when(F.col("_gone").isNotNull(), lines))
+    if counts:
+        joined = joined.withColumn("n_lines", n.cast("long")).withColumn("n_dropped", lost.cast("long"))
+    return joined.withColumn("text", text).drop(*keys, "_gone", "_lines")
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
