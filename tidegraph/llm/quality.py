@@ -1,6 +1,6 @@
 """Quality rules: thresholds learned per language and source from mergeable quantile sketches.
 
-Four measures of a text are turned into integers.  Each (language, source, measure)
+Three measures of a text are turned into integers.  Each (language, source, measure)
 has a log-linear histogram as its quantile sketch: a value keeps its ``BITS`` leading
 binary digits, so any quantile is known within one part in 2**(BITS-1), the sketch
 has a few hundred bins at most, and two sketches merge by adding counts.  That sum is
@@ -30,7 +30,6 @@ MEASURES = {
     "word_len": ("100 * word_chars DIV n_words", 150, 150),
     "symbols": ("1000 * n_symbols DIV n_words", None, 100),
     "dup_lines": ("1000 * n_dup_lines DIV n_full_lines", None, 300),
-    "repeats": ("1000 * n_repeat_words DIV n_words", None, 100),
 }
 _BLANK = " \t\n\x0b\x0c\r"
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
