@@ -38,7 +38,7 @@ from tidegraph.llm import _text
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Size of a model file that may be sent to executors.
 MAX_MODEL_BYTES = 64 << 20
-CACHE = 200_000
+CACHE = 400_000
 MARK = "▁"
 _NEVER = float("inf")
 
@@ -288,12 +288,22 @@ class Encoder:
         return np.delete(out, lead), to - np.searchsorted(lead, to)
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(path: str, shared) -> Encoder:
+    """The encoder of this worker process: its table of runs serves task after task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(shared.value)
+    return _encoders[path]
+
+
 def _each(df: DataFrame, make, schema: str, path: str) -> DataFrame:
     scratch.ship_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(Vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = _encoder(path, shared)
         for batch in batches:
             for part in make(encoder, batch):
                 yield part
