@@ -7,14 +7,15 @@ threshold apart far better than it tells low ones.
 
 1.  Rows of equal set become one class (a combined ``min`` per set digest), so a group
     of thousands of copies is one vertex from here on.
-2.  Bands: every class that shares a band value with others is compared with the
-    smallest class of that bucket, the hub - one candidate a row, never all pairs.  A
-    candidate whose sketches differ by more than ``MAX_BITS`` is far below 0.75 (over
-    five standard errors); the rest are confirmed on the full sets.
+2.  Bands: every class that shares a band value with others is compared with one class
+    of that bucket, the hub (the one with most company) - one candidate a row, never all
+    pairs.  A candidate whose sketches differ by more than ``MAX_BITS`` is far below 0.75
+    (over five standard errors); the rest are confirmed on the full sets.
 3.  A class that its hub does not confirm is left over.  While many are left, they get
-    another round with the smallest of them as hub.  At last the left-over classes
-    are joined with their buckets under the sketch bound and confirmed, save those
-    whose component is known already: no link that could join two components is lost.
+    another round with a hub of their own.  At last the left-over classes meet the rest of
+    their buckets, but for those whose component is known already.  The condition of that
+    join is lossless (:func:`_may_link`, parity bitmaps of the whole sets), so that next to
+    nothing but links comes out of it: no link that could join two components is lost.
 4.  Connected components of the confirmed links, then back to all rows.
 
 A pair of similarity 0.75 shares no band with probability (1 - 0.75**4)**32 < 6e-6.
@@ -45,6 +46,8 @@ K = BANDS * ROWS
 SKETCH_BITS = 512
 WORDS64 = SKETCH_BITS // 64
 MAX_BITS = 100
+#: Bits of the parity bitmap of a whole set.
+WIDE_BITS = 2048
 #: Star rounds before the left-over classes meet all of their bucket.
 STAR_ROUNDS = 4
 PERCENT = 75
@@ -94,7 +97,9 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarr
 
 
 _SKETCH = [f"s{i}" for i in range(WORDS64)]
+_WIDE = [f"w{i}" for i in range(WIDE_BITS // 64)]
 _SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, " + ", ".join(f"{c} long" for c in _SKETCH)
+_SETS = "x long, size long, grams array<long>, " + ", ".join(f"{c} long" for c in _WIDE)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,11 +128,19 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The full sets, and the parity bitmap of each whole set."""
     for batch in batches:
         for part, sets in _sets(batch):
-            at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")).cast(pa.int64()), _text.list_array(_text.signed(flat), at)], ["doc_id", "grams"])
+            size = np.array([len(s) for s in sets], np.int64)
+            at = np.concatenate([[0], np.cumsum(size)])
+            flat = np.concatenate(sets)
+            bit = np.repeat(np.arange(len(sets)) * WIDE_BITS, size) + (flat >> np.uint64(64 - WIDE_BITS.bit_length() + 1)).astype(np.int64)
+            odd = (np.bincount(bit, minlength=len(sets) * WIDE_BITS) & 1).astype(np.uint8).reshape(len(sets), WIDE_BITS)
+            wide = np.packbits(odd, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(part.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(size), _text.list_array(_text.signed(flat), at), *[pa.array(np.ascontiguousarray(wide[:, i])) for i in range(len(_WIDE))]],
+                ["x", "size", "grams", *_WIDE],
+            )
 
 
 def _confirm(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,20 +162,26 @@ def _confirm(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([cols["u"].filter(pa.array(yes)), cols["v"].filter(pa.array(yes))], ["u", "v"])
 
 
-def _differ(a: str, b: str):
+def _differ(a: str, b: str, columns: list[str]):
     total = F.lit(0)
-    for c in _SKETCH:
+    for c in columns:
         total = total + F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")))
     return total
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _may_link(a: str, b: str):
+    """False only for pairs under the similarity: the XOR of two sets' parity bitmaps has no
+    more bits than the sets have differing elements, and a link allows (|x| + |y|) / 7 of these."""
+    return _differ(a, b, _WIDE) * (100 + PERCENT) <= (F.col(f"{a}.size") + F.col(f"{b}.size")) * (100 - PERCENT)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs ``(u, v)`` whose full sets are similar enough."""
-    ends = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    sets = docs.select("doc_id", "text").join(ends, "doc_id", "left_semi").mapInArrow(_shingle_rows, "doc_id long, grams array<long>")
-    sets = scratch.materialize(sets, "sets")
-    left = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("grams").alias("gu")), "u")
-    both = left.join(sets.select(F.col("doc_id").alias("v"), F.col("grams").alias("gv")), "v")
+    slim = sets.drop("grams")
+    near = pairs.alias("p").join(slim.alias("a"), F.col("p.u") == F.col("a.x")).join(slim.alias("b"), F.col("p.v") == F.col("b.x"))
+    near = scratch.materialize(near.where(_may_link("a", "b")).select("p.u", "p.v").distinct(), "near")
+    left = near.join(sets.select(F.col("x").alias("u"), F.col("grams").alias("gu")), "u")
+    both = left.join(sets.select(F.col("x").alias("v"), F.col("grams").alias("gv")), "v")
     return scratch.materialize(both.select("u", "v", "gu", "gv").mapInArrow(_confirm, "u long, v long").distinct(), "links")
 
 
@@ -173,50 +192,60 @@ def _meetings(rest: DataFrame, bucket: DataFrame) -> int:
     return int(r.join(b, "band").agg(F.coalesce(F.sum(F.col("r").cast("double") * F.col("b")), F.lit(0.0)).alias("n")).first()["n"])
 
 
+def _hubs(rows: DataFrame) -> DataFrame:
+    """``(band, hub)``: the class of each bucket that has most company over all its buckets, then the smallest."""
+    return scratch.materialize(rows.groupBy("band").agg(F.min(F.struct(-F.col("company"), "x")).alias("m")).select("band", F.col("m.x").alias("hub")), "hubs")
+
+
 def near_duplicate_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(signed, links)``: signed has ``doc_id, n_shingles, rep`` for every row with
-    shingles, links has confirmed ``(u, v)`` between classes, enough for all components."""
-    spark = docs.sparkSession
-    scratch.ship_package(spark)
+    """``(signed, links)``: signed has ``doc_id``, ``n_shingles`` and the set digest of every row,
+    links has confirmed ``(u, v)`` between classes, enough for all components."""
+    scratch.ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     signed = scratch.materialize(rows.mapInArrow(_sign, _SIGNED), "signed")
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = scratch.materialize(some.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), "reps")
-    own = signed.alias("s").join(reps.alias("r"), (F.col("s.doc_id") == F.col("r.rep")) & (F.col("s.d1") == F.col("r.d1")) & (F.col("s.d2") == F.col("r.d2")), "left_semi")
-    sketch = scratch.materialize(own.select(F.col("doc_id").alias("x"), *_SKETCH).dropDuplicates(["x"]), "sketch")
-    banded = own.select(F.col("doc_id").alias("x"), F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("x").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "hub")
-    hubs = scratch.materialize(shared, "hubs")
-    left = scratch.materialize(banded.join(hubs.hint("merge"), "band").where("x >= hub"), "bucket")
-    bucket, links = left.select("band", "x"), None
+    own = signed.alias("s").join(reps.alias("r").hint("merge"), (F.col("s.doc_id") == F.col("r.rep")) & (F.col("s.d1") == F.col("r.d1")) & (F.col("s.d2") == F.col("r.d2")), "left_semi")
+    own = scratch.materialize(own.select(F.col("doc_id").alias("x"), "bands", *_SKETCH).dropDuplicates(["x"]), "own")
+    banded = own.select("x", F.explode("bands").alias("band"))
+    shared = scratch.materialize(banded.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
+    bucket = scratch.materialize(banded.join(shared.hint("merge"), "band"), "bucket")
+    company = scratch.materialize(bucket.groupBy("x").agg(F.sum("c").alias("company")), "company")
+    bucket = scratch.materialize(bucket.select("band", "x").join(company.hint("merge"), "x"), "bucket")
+    # Only here are texts dealt out by id, once: the sets of all classes that share a bucket.
+    sets = rows.join(company.select(F.col("x").alias("doc_id")).hint("merge"), "doc_id", "left_semi").mapInArrow(_shingle_rows, _SETS)
+    sets = scratch.materialize(sets, "sets")
+    sketch = own.drop("bands").join(company.select("x").hint("merge"), "x", "left_semi")
+    sketch = scratch.materialize(sketch, "sketch")
+    rest, links = bucket, None
     for _ in range(STAR_ROUNDS):
-        pairs = left.where("x > hub").select(F.col("hub").alias("u"), F.col("x").alias("v")).distinct()
+        left = scratch.materialize(rest.join(_hubs(rest).hint("merge"), "band").where("x <> hub"), "left")
+        pairs = left.select(F.least("hub", "x").alias("u"), F.greatest("hub", "x").alias("v")).distinct()
         near = (
             pairs.alias("p").join(sketch.alias("a"), F.col("p.u") == F.col("a.x")).join(sketch.alias("b"), F.col("p.v") == F.col("b.x"))
-            .where(_differ("a", "b") <= MAX_BITS).select("p.u", "p.v")
+            .where(_differ("a", "b", _SKETCH) <= MAX_BITS).select("p.u", "p.v")
         )
-        found = _confirmed(scratch.materialize(near, "pairs"), rows)
+        found = _confirmed(scratch.materialize(near, "pairs"), sets)
         links = found if links is None else links.unionByName(found)
-        rest = left.alias("l").where("x > hub").join(links.alias("k").hint("merge"), (F.col("k.u") == F.col("l.hub")) & (F.col("k.v") == F.col("l.x")), "left_anti").select("band", "x")
+        linked = links.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(links.select(F.col("v").alias("a"), F.col("u").alias("b")))
+        rest = left.alias("l").join(linked.alias("k").hint("merge"), (F.col("k.a") == F.col("l.hub")) & (F.col("k.b") == F.col("l.x")), "left_anti").select("band", "x", "company")
         rest = scratch.materialize(rest, "rest")
         if rest.isEmpty():
             return signed, links
         if _meetings(rest, bucket) <= FEW_MEETINGS:
             break
-        again = scratch.materialize(rest.groupBy("band").agg(F.min("x").alias("hub")), "hubs")
-        left = scratch.materialize(rest.join(again.hint("merge"), "band"), "left")
     parts = scratch.materialize(connected_components(links, "u", "v"), "parts")
-    leftover = rest.select("band", "x").distinct()
+    slim = sets.drop("grams")
 
     def labelled(df: DataFrame) -> DataFrame:
-        known = df.join(parts.hint("merge"), df["x"] == parts["node"], "left").select("band", "x", F.coalesce("component", "x").alias("component"))
-        return known.join(sketch, "x")
+        known = df.select("band", "x").join(parts.hint("merge"), df["x"] == parts["node"], "left").select("band", "x", F.coalesce("component", "x").alias("component"))
+        return known.join(slim, "x")
 
-    a, b = labelled(leftover).alias("a"), labelled(bucket.join(leftover.select("band").distinct(), "band", "left_semi")).alias("b")
-    meet = a.join(b.hint("merge"), (F.col("a.band") == F.col("b.band")) & (F.col("a.component") != F.col("b.component")) & (_differ("a", "b") <= MAX_BITS))
+    some_left = rest.select("band").distinct()
+    a, b = labelled(rest).alias("a"), labelled(bucket.join(some_left.hint("merge"), "band", "left_semi")).alias("b")
+    meet = a.join(b.hint("merge"), (F.col("a.band") == F.col("b.band")) & (F.col("a.component") != F.col("b.component")) & _may_link("a", "b"))
     pairs = meet.select(F.least("a.x", "b.x").alias("u"), F.greatest("a.x", "b.x").alias("v")).distinct()
-    found = _confirmed(scratch.materialize(pairs, "pairs"), rows)
-    return signed, links.unionByName(found)
+    return signed, links.unionByName(_confirmed(scratch.materialize(pairs, "pairs"), sets))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
