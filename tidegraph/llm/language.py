@@ -31,7 +31,7 @@ from tidegraph import scratch
 from tidegraph.llm import _text
 from tidegraph.llm.decontaminate import lower_table
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 15
 SWITCH = 8.0
 SMOOTH = 0.5
 SHARE = 0.005
@@ -72,13 +72,11 @@ def grams_of(points: np.ndarray, at: np.ndarray):
     last[:-1] &= ~inside[1:]
     edge = at[1:][at[1:] > 0] - 1
     last[edge] = inside[edge]
-    x = np.where(inside, low, 0).astype(np.uint64)
-    before, after = np.zeros_like(x), np.zeros_like(x)
-    before[1:], after[:-1] = x[:-1], x[1:]
-    before[first], after[last] = 0, 0
     where = np.flatnonzero(inside)
-    key = (before[where] << np.uint64(42)) | (x[where] << np.uint64(21)) | after[where]
-    bucket = (_text.mix(key) >> np.uint64(48)).astype(np.int64) % BUCKETS
+    before, after = low[np.maximum(where - 1, 0)], low[np.minimum(where + 1, len(low) - 1)]
+    before[first[where]], after[last[where]] = 0, 0
+    key = (before.astype(np.uint64) << np.uint64(42)) | (low[where].astype(np.uint64) << np.uint64(21)) | after
+    bucket = ((_text.mix(key) >> np.uint64(48)) % np.uint64(BUCKETS)).astype(np.int32)
     starts = np.flatnonzero(first)
     begin = np.searchsorted(where, starts)
     script = _NUMBER[np.searchsorted(_STARTS, points[starts], "right") - 1]
@@ -98,7 +96,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number = np.array([names.index(x) for x in langs], np.int64)
             word_lang = np.repeat(number, np.diff(first))
             size = np.diff(ends)
-            grams = np.bincount(np.repeat(word_lang, size) * BUCKETS + bucket, minlength=len(names) * BUCKETS).reshape(len(names), BUCKETS)
+            grams = np.bincount(np.repeat(word_lang, size) * BUCKETS + bucket.astype(np.int64), minlength=len(names) * BUCKETS).reshape(len(names), BUCKETS)
             scripts = np.bincount(word_lang * SCRIPTS + script, weights=size, minlength=len(names) * SCRIPTS).reshape(len(names), SCRIPTS)
             for i, name in enumerate(names):
                 both = np.concatenate([grams[i], scripts[i].astype(np.int64)])
@@ -186,7 +184,7 @@ def _each(docs: DataFrame, model: Model | None, make, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _text.slices(batch, limit=1 << 21):
+            for part in _text.slices(batch, limit=1 << 20):
                 yield make(part, shared.value)
 
     return docs.mapInArrow(run, schema)
