@@ -70,6 +70,23 @@ def test_hub_that_matches_nobody(spark, monkeypatch):
     assert result(df) == brute(rows)
 
 
+def test_families_that_one_link_chains(spark, monkeypatch):
+    """The hub of all buckets that x and y share links with x only: the one link of y is left to the final join."""
+    monkeypatch.setattr(minhash, "FEW_MEETINGS", 0)
+
+    def put(words, at, size, tag):
+        return [*words[:at], *[f"{tag}_{i}" for i in range(size)], *words[at + size :]]
+
+    x = [f"x928_{i}" for i in range(100)]
+    hub = put(x, 38, 9, "a38")
+    texts = [x, put(x, 0, 13, "y"), hub, *[put(hub, 42, 1, f"k38_{k}") for k in range(12)]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(d, t, "s", "x", 1) for d, t in rows], SCHEMA)
+    want = brute(rows)
+    assert {c for _, c in want.values()} == {0}
+    assert result(df) == want
+
+
 def test_edges_of_input(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert minhash.near_duplicates(empty).count() == 0

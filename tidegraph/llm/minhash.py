@@ -12,10 +12,12 @@ threshold apart far better than it tells low ones.
     pairs.  A candidate whose sketches differ by more than ``MAX_BITS`` is far below 0.75
     (over five standard errors); the rest are confirmed on the full sets.
 3.  A class that its hub does not confirm is left over.  While many are left, they get
-    another round with a hub of their own.  At last the left-over classes meet the rest of
-    their buckets, but for those whose component is known already.  The condition of that
-    join is lossless (:func:`_may_link`, parity bitmaps of the whole sets), so that next to
-    nothing but links comes out of it: no link that could join two components is lost.
+    another round with a hub of their own.  At last every class of a bucket that is not in
+    the bucket's largest component meets the whole bucket, but for classes of its own
+    component: of two classes in different components one is always among these, whichever
+    hub took them out.  The condition of that join is lossless (:func:`_may_link`, parity
+    bitmaps of the whole sets), so that next to nothing but links comes out of it: no link
+    that could join two components is lost.
 4.  Connected components of the confirmed links, then back to all rows.
 
 A pair of similarity 0.75 shares no band with probability (1 - 0.75**4)**32 < 6e-6.
@@ -217,7 +219,7 @@ def near_duplicate_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = scratch.materialize(sets, "sets")
     sketch = own.drop("bands").join(company.select("x").hint("merge"), "x", "left_semi")
     sketch = scratch.materialize(sketch, "sketch")
-    rest, links = bucket, None
+    rest, links, some_left = bucket, None, None
     for _ in range(STAR_ROUNDS):
         left = scratch.materialize(rest.join(_hubs(rest).hint("merge"), "band").where("x <> hub"), "left")
         pairs = left.select(F.least("hub", "x").alias("u"), F.greatest("hub", "x").alias("v")).distinct()
@@ -230,19 +232,23 @@ def near_duplicate_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         linked = links.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(links.select(F.col("v").alias("a"), F.col("u").alias("b")))
         rest = left.alias("l").join(linked.alias("k").hint("merge"), (F.col("k.a") == F.col("l.hub")) & (F.col("k.b") == F.col("l.x")), "left_anti").select("band", "x", "company")
         rest = scratch.materialize(rest, "rest")
-        if rest.isEmpty():
-            return signed, links
-        if _meetings(rest, bucket) <= FEW_MEETINGS:
+        if some_left is None:
+            # Where hub 1 confirms all, the bucket is one component.  Later hubs only add links:
+            # what they confirm has not met what hub 1 confirmed, so it stays for the final join.
+            if rest.isEmpty():
+                return signed, links
+            some_left = scratch.materialize(rest.select("band").distinct(), "some_left")
+        if rest.isEmpty() or _meetings(rest, bucket) <= FEW_MEETINGS:
             break
     parts = scratch.materialize(connected_components(links, "u", "v"), "parts")
     slim = sets.drop("grams")
 
-    def labelled(df: DataFrame) -> DataFrame:
-        known = df.select("band", "x").join(parts.hint("merge"), df["x"] == parts["node"], "left").select("band", "x", F.coalesce("component", "x").alias("component"))
-        return known.join(slim, "x")
-
-    some_left = rest.select("band").distinct()
-    a, b = labelled(rest).alias("a"), labelled(bucket.join(some_left.hint("merge"), "band", "left_semi")).alias("b")
+    whole = bucket.select("band", "x").join(some_left.hint("merge"), "band", "left_semi").join(parts.hint("merge"), F.col("x") == F.col("node"), "left")
+    whole = scratch.materialize(whole.select("band", "x", F.coalesce("component", "x").alias("component")), "whole")
+    sizes = whole.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("band").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("several")).where("several > 1")
+    whole = scratch.materialize(whole.join(largest.hint("merge"), "band"), "whole").join(slim, "x")
+    a, b = whole.where("component <> largest").alias("a"), whole.alias("b")
     meet = a.join(b.hint("merge"), (F.col("a.band") == F.col("b.band")) & (F.col("a.component") != F.col("b.component")) & _may_link("a", "b"))
     pairs = meet.select(F.least("a.x", "b.x").alias("u"), F.greatest("a.x", "b.x").alias("v")).distinct()
     return signed, links.unionByName(_confirmed(scratch.materialize(pairs, "pairs"), sets))
