@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +134,41 @@ def test_language_model_edges(spark):
     assert gru_lm.score(docs.limit(0), model, counts).count() == 0
     empty, none = gru_lm.train(docs.limit(0))
     assert all(r.score == r.base_score and r.n_known == 0 for r in gru_lm.score(docs, empty, none).collect())
+
+
+def test_every_class_is_learned_with_the_state_carried(monkeypatch):
+    """All classes of a group are learned once, in order, each window from the state that the last one left."""
+    seen, states = [], []
+    real = gru_lm.Network.learn
+
+    def learn(self, h, before, after, rate):
+        out = real(self, h, before, after, rate)
+        seen.append((before.copy(), after.copy()))
+        states.append((h.copy(), out[0].copy()))
+        return out
+
+    monkeypatch.setattr(gru_lm.Network, "learn", learn)
+
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    class Plain:
+        def classes_of(self, column):
+            return (np.array(column.to_pylist(), np.int64),)
+
+    def plain(batches, column):
+        yield from ([b] for b in batches)
+
+    monkeypatch.setattr(gru_lm, "_groups", plain)
+    for n in (10, 1000, 20_011):
+        seen.clear()
+        states.clear()
+        classes = np.random.default_rng(n).integers(0, gru_lm.CLASSES, n)
+        batch = pa.RecordBatch.from_arrays([pa.array(classes)], ["text"])
+        list(gru_lm._adapt(Shared(Plain()), Shared(gru_lm.Network(np.ones(gru_lm.CLASSES))))(iter([batch])))
+        after = np.concatenate([a for _, a in seen]).T.ravel()
+        before = np.concatenate([b for b, _ in seen]).T.ravel()
+        assert (after[after >= 0] == classes).all() and (before[after >= 0][1:] == classes[:-1]).all() and before[0] == gru_lm.END_CLASS
+        for (_, left), (begin, _) in zip(states, states[1:]):
+            assert (left == begin).all() and left.any()

@@ -15,8 +15,8 @@ classes leave the Good-Turing share (words seen once) to words never seen.
 Network.  A gated recurrent unit reads the classes; weights are learned by truncated
 backpropagation through time with Adam, in numpy: first on the driver over a bounded
 start sample (``START_DOCS`` texts), then in one pass where every task goes on from these
-weights over windows of all its training texts (every ``STRIDE``-th window, in turn), and
-the tasks' weights are averaged by tokens.  Scoring carries the state from window to
+weights over every window of all its training texts, the state carried from window to
+window, and the tasks' weights are averaged by tokens.  Scoring carries the state from window to
 window, so a text of any length gets its complete log likelihood; texts run in lockstep.
 
 Defined results: null text is empty and has one token, its end; repeated rows count and
@@ -43,7 +43,7 @@ CLASSES = SINGLES + 2 * CLUSTERS + 1
 END_CLASS = CLASSES - 1
 HIDDEN = 24
 START_DOCS = 1200
-STREAMS, WINDOW, STRIDE = 64, 24, 8
+STREAMS, WINDOW = 64, 24
 GROUP_BYTES = 8 << 20
 TRIGRAMS = 4096
 #: The hash that stands for the end of a text; its row in the counts has no word.
@@ -174,42 +174,54 @@ class Network:
         return new + gate[:, :n] * (h - new)
 
     def learn(self, h: np.ndarray, before: np.ndarray, after: np.ndarray, rate: float) -> tuple[np.ndarray, float]:
-        """One truncated backpropagation over (steps, streams) classes; the state is carried on."""
+        """One truncated backpropagation over (steps, streams) classes, -1 in ``after`` where a stream is over; the state is carried on."""
         p, n = self.p, HIDDEN
-        kept, hs = [], [h]
-        for t in range(len(before)):
-            x, a = p["enter"][before[t]] + p["bias"], h @ p["turn"]
-            gate = 1 / (1 + np.exp(-(x[:, : 2 * n] + a[:, : 2 * n])))
-            new = np.tanh(x[:, 2 * n :] + gate[:, n:] * a[:, 2 * n :])
-            kept.append((gate[:, :n], gate[:, n:], new, a[:, 2 * n :]))
-            h = new + gate[:, :n] * (h - new)
-            hs.append(h)
-        states = np.stack(hs[1:])
-        logits = states @ p["leave"] + p["base"]
-        logits -= logits.max(axis=2, keepdims=True)
-        out = np.exp(logits)
-        out /= out.sum(axis=2, keepdims=True)
-        row, col = np.indices(after.shape)
-        loss = float(-np.log(np.maximum(out[row, col, after], 1e-30)).mean())
-        out[row, col, after] -= 1
-        out /= after.size
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        g["leave"] = np.tensordot(states, out, ([0, 1], [0, 1]))
-        g["base"] = out.sum(axis=(0, 1))
-        back = out @ p["leave"].T
-        dh = np.zeros_like(h)
-        for t in range(len(before) - 1, -1, -1):
-            z, r, new, an = kept[t]
+        steps, streams = before.shape
+        enter, turn, back_turn = p["enter"] + p["bias"], p["turn"], np.ascontiguousarray(p["turn"].T)
+        inputs = enter[before]
+        hs = np.empty((steps + 1, streams, n), inputs.dtype)
+        gates, news, ans = np.empty((steps, streams, 2 * n), inputs.dtype), np.empty_like(hs[1:]), np.empty_like(hs[1:])
+        hs[0] = h
+        for t in range(steps):
+            x, a = inputs[t], hs[t] @ turn
+            gate = np.divide(1, 1 + np.exp(-(x[:, : 2 * n] + a[:, : 2 * n])), out=gates[t])
+            ans[t] = a[:, 2 * n :]
+            new = np.tanh(x[:, 2 * n :] + gate[:, n:] * ans[t], out=news[t])
+            hs[t + 1] = new + gate[:, :n] * (hs[t] - new)
+        states, real = hs[1:].reshape(-1, n), np.flatnonzero(after.ravel() >= 0)
+        out = states @ p["leave"] + p["base"]
+        out -= out.max(axis=1, keepdims=True)
+        np.exp(out, out=out)
+        out /= out.sum(axis=1, keepdims=True)
+        wanted = after.ravel()[real]
+        loss = float(-np.log(np.maximum(out[real, wanted], 1e-30)).mean())
+        out[real, wanted] -= 1
+        if len(real) < after.size:
+            out[after.ravel() < 0] = 0
+        out /= len(real)
+        g = {"leave": states.T @ out, "base": out.sum(axis=0)}
+        back = (out @ p["leave"].T).reshape(steps, streams, n)
+        # What the gradient of a step is multiplied with, for all steps at once.
+        z, r = gates[:, :, :n], gates[:, :, n:]
+        to_new = (1 - z) * (1 - news * news)
+        to_z = (hs[:-1] - news) * z * (1 - z)
+        to_r = ans * r * (1 - r)
+        dx = np.empty((steps, streams, 3 * n), inputs.dtype)
+        da = np.empty_like(dx)
+        dh = np.zeros_like(hs[0])
+        for t in range(steps - 1, -1, -1):
             dh = dh + back[t]
-            dnew = dh * (1 - z) * (1 - new * new)
-            dz = dh * (hs[t] - new) * z * (1 - z)
-            dr = dnew * an * r * (1 - r)
-            dx = np.concatenate([dz, dr, dnew], axis=1)
-            da = np.concatenate([dz, dr, dnew * r], axis=1)
-            np.add.at(g["enter"], before[t], dx)
-            g["bias"] += dx.sum(axis=0)
-            g["turn"] += hs[t].T @ da
-            dh = dh * z + da @ p["turn"].T
+            dnew = np.multiply(dh, to_new[t], out=dx[t, :, 2 * n :])
+            np.multiply(dh, to_z[t], out=dx[t, :, :n])
+            np.multiply(dnew, to_r[t], out=dx[t, :, n : 2 * n])
+            da[t, :, : 2 * n] = dx[t, :, : 2 * n]
+            np.multiply(dnew, r[t], out=da[t, :, 2 * n :])
+            dh = dh * z[t] + da[t] @ back_turn
+        flat = dx.reshape(-1, 3 * n)
+        one = np.zeros((before.size, CLASSES), inputs.dtype)
+        one[np.arange(before.size), before.ravel()] = 1
+        g |= {"enter": one.T @ flat, "bias": flat.sum(axis=0), "turn": hs[:-1].reshape(-1, n).T @ da.reshape(-1, 3 * n)}
+        h = hs[-1]
         self.t += 1
         size = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
         for k, x in g.items():
@@ -219,21 +231,22 @@ class Network:
             p[k] -= (rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-6)).astype(np.float32)
         return h, loss
 
-    def learn_stream(self, classes: np.ndarray, rate: float, stride: int = 1, carried: np.ndarray | None = None, turn: int = 0):
-        """Learn a sequence cut into STREAMS side by side; every ``stride``-th window from ``turn`` on."""
-        length = len(classes) // STREAMS
-        if length < 2:
+    def learn_stream(self, classes: np.ndarray, rate: float) -> float:
+        """Learn every class of a sequence, the first as what follows an end; it is cut into at most STREAMS side by side."""
+        if not len(classes):
             return np.nan
-        grid = classes[: length * STREAMS].reshape(STREAMS, length).T
-        h, losses = np.zeros((STREAMS, HIDDEN), np.float32), []
-        for i, a in enumerate(range(0, length - 1, WINDOW)):
-            if i % stride != turn % stride:
-                h[:] = 0
-                continue
-            b = min(a + WINDOW, length - 1)
-            h, loss = self.learn(h, grid[a:b], grid[a + 1 : b + 1], rate)
+        length = -(-len(classes) // max(1, min(STREAMS, len(classes) // WINDOW)))
+        streams = -(-len(classes) // length)
+
+        def grid(x: np.ndarray, fill: int) -> np.ndarray:
+            return np.concatenate([x, np.full(streams * length - len(x), fill)]).reshape(streams, length).T
+
+        before, after = grid(np.concatenate([[END_CLASS], classes[:-1]]), END_CLASS), grid(classes, -1)
+        h, losses = np.zeros((streams, HIDDEN), np.float32), []
+        for a in range(0, length, WINDOW):
+            h, loss = self.learn(h, before[a : a + WINDOW], after[a : a + WINDOW], rate)
             losses.append(loss)
-        return float(np.mean(losses)) if losses else np.nan
+        return float(np.mean(losses))
 
     def log10_of(self, classes: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Sum over each row's classes of log10 p(class | those before); rows in lockstep, state carried."""
@@ -333,12 +346,11 @@ def _adapt(vocabulary: Vocabulary, network: Network):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Network(np.ones(CLASSES))
         own.load(network.value.flat())
-        tokens = turn = 0
+        tokens = 0
         for held in _groups(batches, 0):
             classes = np.concatenate([vocabulary.value.classes_of(x.column(0))[0] for x in held])
-            own.learn_stream(classes, 0.002, STRIDE, turn=turn)
+            own.learn_stream(classes, 0.002)
             tokens += len(classes)
-            turn += 1
         if tokens:
             flat = own.flat()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat.astype(np.float64) * tokens), pa.array(np.full(len(flat), float(tokens)))], ["i", "x", "n"])
