@@ -1,6 +1,7 @@
 """Goldens of the derived graph, files, statistics and the entry point."""
 
 import struct
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.functions import powerlaw, stats
 from tidegraph.operators import depth, distance
-from tidegraph.plans import registry, testgraph
+from tidegraph.plans import queries, registry, testgraph
 from tidegraph.sources import files, sinks
 
 SMALL = "/root/testdata/sf0.001"
@@ -79,6 +80,30 @@ def test_distances(spark):
     assert found["diameter"] == exact["diameter"] == 3 and found["avg_distance"] == pytest.approx(exact["avg_distance"], rel=0.05)
 
 
+def test_sketches_of_the_whole_graph(spark):
+    t = testgraph.graph(spark, "/root/testdata/sf0.001")
+    after = {r.node_id: [] for r in t["nodes"].select("node_id").collect()}
+    for r in t["edges"].select("src", "dst").distinct().collect():
+        after[r.src].append(r.dst)
+    place = {v: i for i, v in enumerate(after)}
+    ball, pairs = {v: 1 << i for v, i in place.items()}, []
+    while True:
+        new = {v: reduce(lambda a, b: a | ball[b], after[v], ball[v]) for v in after}
+        pairs.append(sum(b.bit_count() for b in new.values()) - sum(b.bit_count() for b in ball.values()))
+        ball = new
+        if not pairs[-1]:
+            break
+    exact = sum((d + 1) * n for d, n in enumerate(pairs)) / sum(pairs)
+    found = queries.distance_hll(spark, "/root/testdata/sf0.001").first()
+    assert found["avg_distance"] == pytest.approx(exact, rel=0.05) and abs(found["diameter"] - (len(pairs) - 1)) <= 1
+
+
+def test_sketches_raise_on_a_cap(spark):
+    nodes, edges = spark.range(6).withColumnRenamed("id", "node_id"), spark.range(5).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    with pytest.raises(RuntimeError):
+        distance.hyperball(nodes, edges, max_rounds=3).count()
+
+
 def test_flat_files(spark, tmp_path):
     (tmp_path / "e.bin").write_bytes(struct.pack("<4Q", 1, 2, 3, 2**40))
     assert sorted(tuple(r) for r in files.read_edges(spark, str(tmp_path / "e.bin")).collect()) == [(1, 2), (3, 2**40)]

@@ -327,5 +327,4 @@ def distance_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def distance_hll(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = testgraph.graph(spark, sf_dir)
-    balls = distance.hyperball(*snapshots.snapshot(t["nodes"], t["edges"], 1))
-    return distance.ball_report(balls)
+    return distance.ball_report(distance.hyperball(t["nodes"], t["edges"]))
