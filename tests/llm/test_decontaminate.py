@@ -49,6 +49,20 @@ def test_planted_edits(spark):
     assert sorted(r.doc_id for r in D.clean(df, bench).collect()) == sorted(d for d, _ in docs if d not in {x[0] for x in want})
 
 
+def test_edits_that_lie_close_together():
+    """An item with a short one in its block: most of its edits lie close together, its sparse hits count too."""
+    rng = np.random.default_rng(7)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    short, long = "".join(rng.choice(letters, 81)), "".join(rng.choice(letters, 394))
+    items = D.Items([(1, short), (2, long)])
+    for extra in ((270, 300, 330, 360), (275, 285, 380, 390), (260, 262, 264, 390)):
+        text = list(long)
+        for at in [5 + 14 * i for i in range(18)] + list(extra):
+            text[at] = "Ω"
+        points = np.frombuffer(("0" * 600 + "".join(text) + "1" * 600).encode("utf-32-le"), np.uint32)
+        assert [(i, e) for _, i, e, _, _ in D.search(items, points, np.array([0, len(points)]))] == [(1, 22)]
+
+
 def test_places_and_empty_tables(spark):
     item = "The  quick brown fox jumps over the lazy dog again"
     df = spark.createDataFrame([(1, "Ünïcode  " + item + "!", "x", 1)], DOCS)

@@ -6,8 +6,8 @@ as one space.  An item of m code points may be found with up to
 ``m - Q + 1 - k * Q`` of the item's q-grams, on diagonals (place in text - place in
 item) that lie within k of each other.  So:
 
-1.  Every text position is looked up in a table of the items' q-grams; stretches with
-    too few of them for any item are passed over.
+1.  Every text position is looked up in a table of the items' q-grams; places with
+    too few of them for any item, as far around as the longest item reaches, are passed over.
 2.  The remaining hits are counted in diagonal bands of width 2k that overlap by k, so
     every run of k diagonals lies in one band whole.  Bands under the bound go.
 3.  What is left is verified by banded alignment: edit distance of the item to the
@@ -114,7 +114,7 @@ class Items:
         self.table = np.zeros(1 << _BITS, bool)
         self.table[(self.hash >> np.uint64(64 - _BITS)).astype(np.int64)] = True
         # A stretch of `span` positions must hold `dense` hits somewhere in any occurrence.
-        self.span = int((m + self.k).min())
+        self.span, self.reach = int((m + self.k).min()), int((m + self.k).max())
         self.dense = int((self.least // -(-(m + self.k) // self.span)).min())
 
 
@@ -158,8 +158,9 @@ def search(items: Items, points: np.ndarray, at: np.ndarray) -> list[tuple[int,
     total = np.concatenate([[0], np.cumsum(hit, dtype=np.int32)])
     ahead = np.minimum(np.arange(len(h)) + items.span, len(h))
     dense = np.concatenate([[0], np.cumsum(total[ahead] - total[:-1] >= items.dense, dtype=np.int32)])
-    behind = np.maximum(np.arange(len(h)) - items.span, -1) + 1
-    hit &= dense[1:] - dense[behind] > 0  # some dense stretch holds the position
+    # A dense stretch only tells where to look: all hits as far around it as an occurrence may reach are counted.
+    behind, beyond = np.maximum(np.arange(len(h)) - items.reach, 0), np.minimum(np.arange(len(h)) + items.reach + 1, len(h))
+    hit &= dense[beyond] - dense[behind] > 0
     where = np.flatnonzero(hit)
     found = np.searchsorted(items.hash, h[where])
     found[found == len(items.hash)] = 0
