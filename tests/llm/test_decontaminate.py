@@ -63,6 +63,16 @@ def test_edits_that_lie_close_together():
         assert [(i, e) for _, i, e, _, _ in D.search(items, points, np.array([0, len(points)]))] == [(1, 22)]
 
 
+def test_short_items_are_searched_exactly():
+    words = ["capital city", "who wrote hamlet", "what is 17 times three"]
+    items = D.Items([*enumerate(words), (9, "too short")])
+    text = "Z. CAPITAL  City; who wrote hamlet? who wrote hamlex, what is 17 times three"
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    assert [(items.ids[i], e) for _, i, e, _, _ in D.search(items, points, np.array([0, len(points)]))] == [(0, 0), (1, 0), (2, 0)]
+    miss = np.frombuffer(b"w\0\0\0", np.uint32)
+    assert D.search(items, miss, np.array([0, 1])) == []
+
+
 def test_places_and_empty_tables(spark):
     item = "The  quick brown fox jumps over the lazy dog again"
     df = spark.createDataFrame([(1, "Ünïcode  " + item + "!", "x", 1)], DOCS)

@@ -36,7 +36,8 @@ from tidegraph.llm import _text
 
 Q = 12
 RATE = 0.06
-MIN_ITEM = 24
+#: Items of Q to 23 code points have a budget of no edits: they are searched exactly.
+MIN_ITEM = Q
 BLOCK_CHARS = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
