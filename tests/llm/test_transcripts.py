@@ -31,6 +31,14 @@ def test_roles_of_the_table(spark):
     assert both.count() >= 0.98 * table.count()
 
 
+def test_turns_keep_their_lines(spark):
+    reply = "first\n\n  indented\nContext: inner words\nlast "
+    raw = spark.createDataFrame([("c", 0, "User: go?"), ("c", 1, "Assistant: " + reply), ("c", 2, "User: thanks\n\n")], "conv string, turn long, raw string")
+    want = [(0, "user", "go?"), (1, "assistant", reply), (2, "user", "thanks")]
+    got = T.recover(raw).orderBy("turn", "line").collect()
+    assert [(r.turn, r.role, r.text) for r in got] == want and got[1].rendered == T.canonical("assistant", reply)
+
+
 def test_edges(spark):
     rows = [(1, 0, "user", "hi", "x", 1), (1, 0, "user", "hi", "x", 1), (1, 1, "assistant", None, None, None), (None, 0, "user", "lost", "y", 2), (2, None, "system", "rule", "z", 3), (3, 0, None, "", "z", 3)]
     df = spark.createDataFrame(rows, SCHEMA)

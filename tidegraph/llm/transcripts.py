@@ -4,7 +4,8 @@ A transcript is lines in order.  Each line is in one of six states, a role (syst
 assistant) and whether it begins a turn.  What is seen of a line is its speaker marker
 (``User:``, ``### Assistant``, ``<|system|>``, ``[Human]``, ...), if any, and simple features:
 blank before, question mark, length.  Viterbi gives the best states; turns are cut where one
-begins, markers are taken off, and each turn is rendered canonically.
+begins, the marker that begins it is taken off, and each turn is rendered canonically.  The
+other lines stay as they are, blank ones too, but for blank lines at the ends of a turn or a block.
 
 Long transcripts are taken in blocks of ``BLOCK`` turns of input, so no task holds a whole
 one.  A block is summed up by the best score between any state before it and its last (42
@@ -86,7 +87,7 @@ def emission(line: str, role: int, gap: bool) -> np.ndarray:
 
 
 def _observe(lines: list[str]) -> tuple[np.ndarray, list[str], list[int]]:
-    """Emissions of the lines that are not blank, their text, and their places."""
+    """Emissions of the lines that are not blank, their text without a marker, and their places."""
     seen, texts, places, gap = [], [], [], False
     for i, line in enumerate(lines):
         if not line.strip():
@@ -183,6 +184,12 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(conv, pa.string()), pa.array(block, pa.int64()), pa.array(before, kind), pa.array(after, kind)], ["conv", "block", "before", "after"])
 
 
+def _joined(lines: list[str], begins: bool) -> str:
+    """The lines without the blank ones at the end and, where a turn begins, at the start."""
+    full = [i for i, line in enumerate(lines) if line.strip()]
+    return "\n".join(lines[full[0] if begins else 0 : full[-1] + 1]) if full else ""
+
+
 def _decode_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
@@ -196,7 +203,11 @@ def _decode_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             cut = [i for i in range(len(states)) if i == 0 or states[i] % 2 == 0]
             for a, b in zip(cut, [*cut[1:], len(states)], strict=True):
                 role = ROLES[states[a] // 2]
-                text = "\n".join(t for t in texts[a:b]).strip()
+                begins = states[a] % 2 == 0
+                piece = lines[places[a] if begins else 0 : places[b] if b < len(states) else len(lines)]
+                if begins:
+                    piece[0] = texts[a]
+                text = _joined(piece, begins)
                 rows.append((conv, turns[places[a]], places[a], bool(states[a] % 2), role, text, canonical(role, text)))
         names = ["conv", "turn", "line", "continued", "role", "text", "rendered"]
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.string()]
