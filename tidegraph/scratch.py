@@ -44,12 +44,35 @@ def path(spark: SparkSession, name: str) -> str:
     return where
 
 
+#: While a scratch table is written: its shuffle files go as soon as it stands, and Python gets modest batches.
+_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+}
+
+
 def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back."""
-    where = path(df.sparkSession, name)
+    spark = df.sparkSession
+    where = path(spark, name)
     out = df.write.option("compression", "zstd")
-    (out.partitionBy(partition_by) if partition_by else out).parquet(where)
-    return df.sparkSession.read.schema(df.schema).parquet(where)
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
+    try:
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
+        (out.partitionBy(partition_by) if partition_by else out).parquet(where)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(df.schema).parquet(where)
+
+
+def replace(df: DataFrame, name: str, *old: DataFrame) -> DataFrame:
+    """``materialize(df, name)``, after which the materialized tables that it was made from go."""
+    out = materialize(df, name)
+    for table in old:
+        drop(table)
+    return out
 
 
 def drop(df: DataFrame) -> None:
