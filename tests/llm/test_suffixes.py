@@ -25,8 +25,8 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-def result(df):
-    return sorted((tuple(r) for r in suffixes.digest(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()), key=str)
+def result(df, **sizes):
+    return sorted((tuple(r) for r in suffixes.digest(df, **sizes).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()), key=str)
 
 
 def test_planted_repeats(spark):
@@ -43,6 +43,8 @@ def test_planted_repeats(spark):
         rows.append((20 + k, "".join(piece)))
     df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], SCHEMA)
     assert result(df) == brute(rows)
+    # Many parts and many ranges of the order give the same.
+    assert result(df, part_bytes=1000, range_keys=400) == brute(rows)
     out = suffixes.remove_repeats(df)
     assert out.columns == df.columns and out.count() == len(rows)
 
@@ -58,3 +60,28 @@ def test_documents_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     got = suffixes.op6_suffix_dedup(spark, "/root/testdata/sf0.001").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+
+
+def test_keys_of_one_hash(monkeypatch):
+    """Ranks are exact: keys that share a hash are told apart."""
+    monkeypatch.setattr(suffixes._text, "mix", lambda x: x & np.uint64(1))
+    rng = np.random.default_rng(0)
+    columns = [rng.integers(0, 4, 500).astype(np.uint64) for _ in range(3)]
+    order, first, group, _ = suffixes._order(columns)
+    keys = list(zip(*(c.tolist() for c in columns), strict=True))
+    assert len(first) == len(set(keys))
+    of = {}
+    assert all(of.setdefault(keys[i], g) == g for i, g in zip(order, group, strict=True))
+
+
+def test_names_of_clashing_columns_and_a_long_text(spark):
+    rng = np.random.default_rng(9)
+    long = "".join(rng.choice(list("abcdefgh "), 1_300_000))
+    rows = [(1, long, "p"), (2, long[500_000:500_300], "q"), (3, None, None), (3, None, None), (4, "é" * 150, "r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h1 string").selectExpr("*", "1 AS h2", "2 AS holders", "3 AS kept", "4 AS row", "5 AS t", "6 AS _h1", "7 AS _kept")
+    got = {r.doc_id: r for r in suffixes.digest(df).collect()}
+    assert (got[1].n_removed, got[1].n_spans, got[2].n_removed, got[3].n_bytes, got[4].n_removed) == (300, 1, 300, 0, 300)
+    out = suffixes.remove_repeats(df)
+    assert out.columns == df.columns
+    kept = {r.doc_id: (r.text, r.h1, r.kept, r.row) for r in out.collect()}
+    assert kept[1] == (long[:500_000] + long[500_300:], "p", 3, 4) and kept[2][0] == "" and kept[4][0] == ""
