@@ -67,11 +67,11 @@ def test_keys_of_one_hash(monkeypatch):
     monkeypatch.setattr(suffixes._text, "mix", lambda x: x & np.uint64(1))
     rng = np.random.default_rng(0)
     columns = [rng.integers(0, 4, 500).astype(np.uint64) for _ in range(3)]
-    order, first, group, _ = suffixes._order(columns)
+    order, first, _ = suffixes._order(columns)
     keys = list(zip(*(c.tolist() for c in columns), strict=True))
-    assert len(first) == len(set(keys))
-    of = {}
-    assert all(of.setdefault(keys[i], g) == g for i, g in zip(order, group, strict=True))
+    assert len(first) == len(set(keys)) and sorted(order) == list(range(500))
+    for a, b in zip(first, [*first[1:], 500], strict=True):
+        assert len({keys[i] for i in order[a:b]}) == 1
 
 
 def test_names_of_clashing_columns_and_a_long_text(spark):

@@ -54,7 +54,7 @@ from tidegraph.llm import _text
 LENGTH = 200
 #: Bytes of text of a part, of a slice of it that is hashed at once, and keys that a range of the order sorts.
 PART = 4 << 20
-SLICE = 1 << 18
+SLICE = 1 << 16
 RANGE_KEYS = 1 << 20
 _NAME = 81
 _W = LENGTH - _NAME + 1  # names in a window
@@ -136,39 +136,52 @@ def _anchored(data: np.ndarray, at: np.ndarray) -> list[tuple[int, np.ndarray, n
 # ---- keys, ranges, ranks
 
 
-def _order(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(order, first of each distinct key in it, distinct key of each place in it, hashes in it)``; keys are rows of ``columns``."""
+def _order(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(order, first place of each distinct key in it, hashes)``; keys are rows of ``columns``.
+    Keys go by their hashes, as far as these and the place of a key fit into 64 bits together."""
     with np.errstate(over="ignore"):
         h = columns[0].astype(np.uint64)
         for k, c in zip((_B, _C), columns[1:], strict=False):
             h = (h ^ (h >> np.uint64(29))) * k + c
         h = _text.mix(h)
-
-    def sort(order: np.ndarray):
-        hs, new = h[order], np.zeros(len(order), bool)
+    n = len(h)
+    places = (np.uint64(1) << np.uint64(n.bit_length())) - np.uint64(1)
+    packed = (h & ~places) | np.arange(n, dtype=np.uint64)
+    packed.sort()
+    order = (packed & places).astype(np.int64)
+    new = np.zeros(n, bool)
+    for c in columns:
+        x = c[order]
+        new[1:] |= x[1:] != x[:-1]
+    new[:1] = True
+    packed &= ~places
+    alike = packed[1:] == packed[:-1]
+    if (alike & new[1:]).any():  # different keys that the order does not tell apart: sort them by themselves
+        run = np.concatenate([[0], np.cumsum(~alike)])
+        mixed = np.zeros(run[-1] + 1, bool)
+        mixed[run[1:][alike & new[1:]]] = True
+        at = np.flatnonzero(mixed[run])
+        some = order[at]
+        order[at] = some[np.lexsort((some, *(c[some] for c in columns), run[at]))]
+        new[:] = False
         for c in columns:
             x = c[order]
             new[1:] |= x[1:] != x[:-1]
         new[:1] = True
-        return hs, new
-
-    order = np.argsort(h)
-    hs, new = sort(order)
-    if len(columns) > 1 and ((hs[1:] == hs[:-1]) & new[1:]).any():  # different keys of one hash
-        order = np.lexsort((*columns, h))
-        hs, new = sort(order)
-    return order, np.flatnonzero(new), np.cumsum(new) - 1, hs
+    return order, np.flatnonzero(new), h
 
 
 def _send(t: int, columns: list[np.ndarray], ranges: int) -> Iterator[pa.RecordBatch]:
     """A part's distinct keys, cut into ranges: ``(r, t, width, keys, twice)``."""
     if not len(columns[0]):
         return
-    order, first, _, h = _order(columns)
+    order, first, h = _order(columns)
     twice = np.diff(np.append(first, len(order))) > 1
     width = 4 if all(int(c.max()) < 1 << 32 for c in columns) else 8
-    keys = [c[order[first]].astype(f"<u{width}") for c in columns]
-    cut = np.searchsorted((h[first] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1))
+    lead = order[first]
+    keys = [c[lead].astype(f"<u{width}") for c in columns]
+    # Hashes ascend by their upper 32 bits: the lower bits may give way to the place of a key.
+    cut = np.searchsorted((h[lead] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1))
     have = np.flatnonzero(np.diff(cut))
     for some in np.array_split(have, -(-len(have) // 64)):
         spans = [slice(cut[r], cut[r + 1]) for r in some]
@@ -195,14 +208,13 @@ def _ranker(columns: int, ranges: int, named: bool):
         r, out = key[0].as_py(), []
         rows = list(zip(*(table.column(k).to_pylist() for k in ("t", "width", "keys", "twice", "n")), strict=True))
         parts = [np.frombuffer(x[2], f"<u{x[1]}").reshape(columns, x[4]) for x in rows]
-        order, first, group, _ = _order([np.concatenate([p[c] for p in parts]).astype(np.uint64) for c in range(columns)])
-        times = np.empty(len(order), np.int64)
-        times[order] = 1
+        order, first, _ = _order([np.concatenate([p[c] for p in parts]).astype(np.uint64) for c in range(columns)])
         many = np.concatenate([np.unpackbits(np.frombuffer(x[3], np.uint8), count=x[4]) for x in rows])[order]
-        seen = np.add.reduceat(1 + many.astype(np.int64), first) > 1
+        size = np.diff(np.append(first, len(order)))
+        seen = (size > 1) | (many[first] > 0)
         name = np.where(seen, np.cumsum(seen) * ranges + r, 0).astype(np.uint64)
         answer = np.empty(len(order), np.uint64)
-        answer[order] = name[group]
+        answer[order] = np.repeat(name, size)
         at = np.cumsum([0, *[x[4] for x in rows]])
         for i, x in enumerate(rows):
             own = answer[at[i] : at[i + 1]]
@@ -220,14 +232,14 @@ def _answers(rows: list[dict], named: bool) -> np.ndarray:
     rows = sorted(rows, key=lambda x: x["r"])
     if named:
         return np.concatenate([np.frombuffer(x["names"], f"<u{x['width']}").astype(np.uint64) for x in rows])
-    return np.concatenate([np.unpackbits(np.frombuffer(x["names"], np.uint8), count=x["n"]) for x in rows]).astype(np.uint64)
+    return np.concatenate([np.unpackbits(np.frombuffer(x["names"], np.uint8), count=x["n"]) for x in rows])
 
 
 def _of_keys(columns: list[np.ndarray], answers: np.ndarray) -> np.ndarray:
     """The answers, which are of distinct keys in order, for every key."""
-    order, _, group, _ = _order(columns)
-    out = np.empty(len(order), np.uint64)
-    out[order] = answers[group]
+    order, first, _ = _order(columns)
+    out = np.empty(len(order), answers.dtype)
+    out[order] = np.repeat(answers, np.diff(np.append(first, len(order))))
     return out
 
 
@@ -313,21 +325,21 @@ def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start[offset : offset + len(least)] |= (_slide(seen, _W, np.minimum) == least) & ~over
         if not start.any():
             continue
-        change = np.zeros(len(data) + 1, np.int32)
         places = np.flatnonzero(start)
-        change[places] += 1
+        change = start.astype(np.int8)
         change[places + LENGTH] -= 1
-        covered = np.cumsum(change[:-1]) > 0
-        text = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        kept = np.unique(text[covered])
-        keep = np.isin(text, kept)
-        covered, text = covered[keep], text[keep]
-        new = covered.copy()
-        new[1:] &= ~covered[:-1] | (text[1:] != text[:-1])
-        last = covered.copy()
-        last[:-1] &= ~covered[1:] | (text[1:] != text[:-1])
+        covered = np.cumsum(change[:-1], dtype=np.int32) > 0
+        size = np.diff(at)
+        kept = np.zeros(len(size), bool)
+        kept[np.searchsorted(at, places, "right") - 1] = True
+        keep = np.repeat(kept, size)
+        covered, ends = covered[keep], np.cumsum(size[kept])
+        new, last = covered.copy(), covered.copy()
+        new[1:] &= ~covered[:-1]
+        new[ends[:-1]] = covered[ends[:-1]]
+        last[:-1] &= ~covered[1:]
+        last[ends - 1] = covered[ends - 1]
         runs = np.stack([np.flatnonzero(new), np.flatnonzero(last) + 1])
-        ends = np.cumsum(np.diff(at)[kept])
         h = _longs(x["h"]).reshape(-1, 2)[kept]
         yield _state(x["t"], h.tobytes(), ends.astype("<i8").tobytes(), data[keep].tobytes(), runs.astype("<i8").tobytes(), b"")
 
@@ -340,22 +352,27 @@ class Runs:
     """The runs of a part laid end to end, each from a multiple of 3 on, with the names so far."""
 
     def __init__(self, row: dict):
-        start, end = _longs(row["runs"]).reshape(2, -1)
-        size = end - start
-        room = (size + 2) // 3 * 3
-        begin = np.cumsum(room) - room
-        total = int(room.sum())
-        within = np.arange(total) - np.repeat(begin, room)
-        self.left = np.maximum(np.repeat(size, room) - within, 0).astype(np.int32)  # bytes to the end of the run
-        self.source = np.repeat(start, room) + within  # place in the part's data
+        self.start, end = _longs(row["runs"]).reshape(2, -1)
+        self.size = end - self.start
+        self.room = (self.size + 2) // 3 * 3
+        self.begin = np.cumsum(self.room) - self.room
+        total = int(self.room.sum())
+        here = np.arange(total, dtype=np.int32)
+        self.left = np.maximum(np.repeat((self.begin + self.size).astype(np.int32), self.room) - here, 0)  # bytes to the end of the run
         data = np.frombuffer(row["data"], np.uint8)
         self.bytes = np.zeros(total + LENGTH + 8, np.uint8)
-        self.bytes[:total] = data[np.minimum(self.source, len(data) - 1)]
-        self.sampled = np.flatnonzero((np.arange(total) % 3 != 0) & (self.left >= _ROUNDS[0][0]))
+        for to, a, b in zip(self.begin.tolist(), self.start.tolist(), end.tolist(), strict=True):
+            self.bytes[to : to + b - a] = data[a:b]
+        self.sampled = np.flatnonzero((here % 3 != 0) & (self.left >= _ROUNDS[0][0])).astype(np.int32)
         self.names = np.zeros(total + LENGTH, np.uint64)
         if row["names"]:
             self.names[self.sampled] = np.frombuffer(row["names"], f"<u{len(row['names']) // max(1, len(self.sampled))}")
 
+    def source(self, places: np.ndarray) -> np.ndarray:
+        """Where positions lie in the part's data."""
+        run = np.searchsorted(self.begin, places, "right") - 1
+        return self.start[run] + places - self.begin[run]
+
     def triples(self, level: int) -> tuple[np.ndarray, list[np.ndarray]]:
         """``(sampled positions that can repeat, their triples)``."""
         size, second, third = _ROUNDS[level]
@@ -369,20 +386,18 @@ class Runs:
 
     def merged(self) -> tuple[np.ndarray, list[np.ndarray]]:
         """``(window starts, their keys)``: two keys a window, one for each other class of positions that it is compared with."""
-        i = np.flatnonzero(self.left >= LENGTH)
-        b, n, last, kind = self.bytes.astype(np.uint64), self.names, LENGTH - 1, i % 3
-        eight = np.uint64(8)
-        both = i[kind != 0], i[kind != 2], i[kind != 1]  # (1, 2), (0, 1), (0, 2)
-        name = n[both[0]], n[both[1] + 1], n[both[2] + 2]
-        rest = (
-            (b[both[0] + last - 1] << eight) | b[both[0] + last],
-            (b[both[1]] << eight) | b[both[1] + last],
-            (b[both[2]] << eight) | b[both[2] + 1],
-        )
-        where, names = np.concatenate(both), np.concatenate(name)
-        tail = np.concatenate([x | np.uint64(k << 16) for k, x in enumerate(rest)])
-        real = names > 0
-        return where[real], [names[real], tail[real]]
+        i = np.flatnonzero(self.left >= LENGTH).astype(np.int32)
+        b, kind, last = self.bytes, i % 3, LENGTH - 1
+        where, names, tails = [], [], []
+        # Which class is left out, how far the sampled position is, and the two bytes beside its name.
+        for tag, (out, step, one, two) in enumerate(((0, 0, last - 1, last), (2, 1, 0, last), (1, 2, 0, 1))):
+            p = i[kind != out]
+            name = self.names[p + step]
+            p, name = p[name > 0], name[name > 0]
+            where.append(p)
+            names.append(name)
+            tails.append((b[p + one].astype(np.uint32) << np.uint32(8)) | b[p + two] | np.uint32(tag << 16))
+        return np.concatenate(where), [np.concatenate(names), np.concatenate(tails)]
 
 
 def _send_level(level: int):
@@ -416,12 +431,14 @@ def _rename(level: int):
 
 def cut(data: np.ndarray, at: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, bytes, list[tuple[int, int]]]]:
     """``(text, what is left, maximal runs cut out)`` of each text that holds a window starting at ``starts``."""
-    change = np.zeros(len(data) + 1, np.int32)
-    starts = np.unique(starts)
-    change[starts] += 1
-    change[starts + LENGTH] -= 1
-    gone = np.cumsum(change[:-1]) > 0
-    for i in np.unique(np.searchsorted(at, starts, "right") - 1).tolist():
+    first = np.zeros(len(data) + 1, np.int8)
+    first[starts] = 1
+    starts = np.flatnonzero(first)
+    first[starts + LENGTH] -= 1
+    gone = np.cumsum(first[:-1], dtype=np.int32) > 0
+    held = np.zeros(len(at) - 1, bool)
+    held[np.searchsorted(at, starts, "right") - 1] = True
+    for i in np.flatnonzero(held).tolist():
         own = gone[at[i] : at[i + 1]]
         edge = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]])))
         yield i, data[at[i] : at[i + 1]][~own].tobytes(), list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
@@ -432,7 +449,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for x in _rows(batches):
         runs = Runs(x)
         where, columns = runs.merged()
-        starts = runs.source[where[_of_keys(columns, _answers(x["back"], False)) > 0]]
+        starts = runs.source(where[_of_keys(columns, _answers(x["back"], False)) > 0])
         at, h = np.append(0, _longs(x["ends"])), _longs(x["h"]).reshape(-1, 2)
         out = [(*h[i].tolist(), int(at[i + 1] - at[i]) - len(kept), [{"start": a, "end": b} for a, b in spans], kept, hashlib.sha256(kept).hexdigest()) for i, kept, spans in cut(np.frombuffer(x["data"], np.uint8), at, starts)]
         if out:
