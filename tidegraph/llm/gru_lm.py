@@ -5,23 +5,29 @@ word).  Words at or above a count that at most ``HOT`` words reach are broadcast
 their counts, a bounded table; the tokens of all other words are joined with the full
 counts, so no count is estimated or cut off.
 
-Classes.  The ``SINGLES`` commonest words are classes of their own; other words fall
-into ``CLUSTERS`` groups by spelling (spherical k-means of hashed letter trigrams, fitted
-on the hot words), hot and rare ones apart; the end of a text is a class too.
-The log probability of a word is that of its class given the network's state plus
-that of the word in its class: its share of the class' training tokens, where rare
-classes leave the Good-Turing share (words seen once) to words never seen.
-
-Network.  A gated recurrent unit reads the classes; weights are learned by truncated
+Probability of a word = that of its class given the state x that of the word in its class given the state.
+
+* The ``SINGLES`` commonest words and the end of a text are classes of their own.
+* The next ``GROUPS`` x ``MEMBERS`` words form classes of ``MEMBERS`` words of like spelling; the word in the class is a
+  second softmax of the state.
+* All other words fall into ``CLUSTERS`` classes by spelling (spherical k-means of hashed letter
+  trigrams of at most ``SPELLED`` bytes, fitted on the hot words), hot and rare ones apart.  A word's share in its
+  class is its share of the class' training tokens.  A rare class leaves its Good-Turing share (words
+  seen once) to words never seen, and these are told apart by a letter model:
+  each byte given the three before it and the cluster, learned on all words, which sums to at most one over all strings.
+
+So the probabilities of all words that can be written sum to at most one.
+
+Network.  A gated recurrent unit reads the words (those of the shared classes as their class); weights are learned by truncated
 backpropagation through time with Adam, in numpy: first on the driver over a bounded
-start sample (``START_DOCS`` texts), then in one pass where every task goes on from these
+start sample (``START_DOCS`` texts, ``START_BYTES`` bytes), then in one pass where every task goes on from these
 weights over every window of all its training texts, the state carried from window to
 window, and the tasks' weights are averaged by tokens.  Scoring carries the state from window to
 window, so a text of any length gets its complete log likelihood; texts run in lockstep.
 
 Defined results: null text is empty and has one token, its end; repeated rows count and
 are scored each; a null ``doc_id`` belongs to the training part; with no training text the score is the base
-score; an empty table gives an empty table; other columns are not read.
+score; an empty table gives an empty table; other columns are not read, whatever they are called; a very long text is read whole by one task.
 """
 
 from __future__ import annotations
@@ -38,14 +44,20 @@ from tidegraph.llm import _text
 
 HOT = 1 << 17
 LEAST_HOT = 3
-SINGLES, CLUSTERS = 32, 16
-CLASSES = SINGLES + 2 * CLUSTERS + 1
-END_CLASS = CLASSES - 1
+SINGLES, GROUPS, MEMBERS, CLUSTERS = 32, 16, 64, 16
+#: What the network reads: single words, members of groups, hot and rare clusters, the end.
+OWN = SINGLES + GROUPS * MEMBERS
+SYMBOLS = OWN + 2 * CLUSTERS + 1
+END_SYMBOL = SYMBOLS - 1
+CLASSES = SINGLES + GROUPS + 2 * CLUSTERS + 1
+_CLASS = np.concatenate([np.arange(SINGLES), SINGLES + np.repeat(np.arange(GROUPS), MEMBERS), SINGLES + GROUPS + np.arange(2 * CLUSTERS + 1)])
 HIDDEN = 24
-START_DOCS = 1200
-STREAMS, WINDOW = 64, 24
+START_DOCS, START_BYTES = 1200, 8 << 20
+WINDOW = 24
+STREAMS, START_STREAMS = 192, 64
 GROUP_BYTES = 8 << 20
 TRIGRAMS = 4096
+SPELLED = 64
 #: The hash that stands for the end of a text; its row in the counts has no word.
 END = np.uint64(1)
 
@@ -113,13 +125,71 @@ def spelled(table: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.nd
     """The spelling cluster of each word."""
     if not len(starts):
         return np.zeros(0, np.int64)
-    out = []
+    out, ends = [], np.minimum(ends, starts + SPELLED)
     for a in range(0, len(starts), 1 << 15):
         bucket, begin = _trigrams(data, starts[a : a + (1 << 15)], ends[a : a + (1 << 15)])
         out.append(np.add.reduceat(table[bucket], begin).argmax(axis=1))
     return np.concatenate(out)
 
 
+class Letters:
+    """Probabilities of words as strings: byte after byte given the three before it and the word's cluster, backed off to
+    the three alone and then to the last.  Contexts are hashed, which leaves every one a distribution.  Bytes that
+    are none of the ``KNOWN`` commonest share a symbol, and its probability."""
+
+    KNOWN = 62
+    BITS = (6, 14, 16)
+    SIZE = sum(64 << b for b in BITS)
+    WEIGHT = np.float32(8)
+
+    def __init__(self, data: np.ndarray):
+        often = np.bincount(data, minlength=256)
+        top = np.argsort(-often, kind="stable")[: min(self.KNOWN, int((often > 0).sum()))]
+        self.symbol = np.full(256, 63, np.uint8)
+        self.symbol[top] = np.arange(1, len(top) + 1)
+        self.learn(np.zeros(self.SIZE))
+
+    def places(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, cluster: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each byte and end of each word its places in the three tables, and each word's first."""
+        if not len(starts):
+            none = np.zeros(0, np.int64)
+            return none, none, none, none
+        size = ends - starts + 1
+        begin = np.cumsum(size) - size
+        source = np.arange(int(size.sum())) + np.repeat(starts - begin, size)
+        now = self.symbol[data[np.minimum(source, len(data) - 1)]].astype(np.uint32)
+        now[begin + size - 1] = 0
+
+        def shifted(x: np.ndarray) -> np.ndarray:
+            out = np.empty_like(x)
+            out[1:] = x[:-1]
+            out[begin] = 0
+            return out
+
+        one = shifted(now)
+        two = shifted(one)
+        context = one | (two << np.uint32(6)) | (shifted(two) << np.uint32(12))
+        mult = np.uint32(0x9E3779B1)
+        three = (context * mult) >> np.uint32(32 - self.BITS[1])
+        with_cluster = (((context << np.uint32(4)) | np.repeat(cluster, size).astype(np.uint32)) * mult) >> np.uint32(32 - self.BITS[2])
+        at = np.cumsum([0, *[64 << b for b in self.BITS]])
+        return tuple(at[i] + (c.astype(np.int64) << 6 | now) for i, c in enumerate((one, three, with_cluster))) + (begin,)
+
+    def learn(self, count: np.ndarray) -> None:
+        self.count = count.astype(np.float32)
+        self.total = self.count.reshape(-1, 64).sum(axis=1)
+
+    def log10_of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, cluster: np.ndarray) -> np.ndarray:
+        if not len(starts):
+            return np.zeros(0)
+        *places, begin = self.places(data, starts, ends, cluster)
+        p = (self.count[places[0]] + np.float32(0.05)) / (self.total[places[0] >> 6] + np.float32(0.05 * 64))
+        for x in places[1:]:
+            p = (self.count[x] + self.WEIGHT * p) / (self.total[x >> 6] + self.WEIGHT)
+        p[(places[0] & 63) == 63] /= 256 - self.KNOWN
+        return np.add.reduceat(np.log10(p).astype(np.float64), begin)
+
+
 def _cluster_table(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """(TRIGRAMS, CLUSTERS) linear scores of spherical k-means over projected trigrams."""
     rng = np.random.default_rng(23)
@@ -139,19 +209,23 @@ def _cluster_table(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, weigh
 
 
 class Network:
-    """Weights and their gradients; classes in, log probabilities of the next class out."""
+    """Weights and their gradients; words in, log probabilities of the next class and of the word in its group out."""
 
-    NAMES = ("enter", "turn", "bias", "leave", "base")
+    NAMES = ("enter", "turn", "bias", "leave", "base", "inner", "inner_base")
 
-    def __init__(self, prior: np.ndarray, seed: int = 5):
+    def __init__(self, prior: np.ndarray, members: np.ndarray | None = None, seed: int = 5):
+        """``prior``: weight of each class; ``members``: weight of each word of the groups, 0 where there is none."""
         rng = np.random.default_rng(seed)
         f = np.float32
+        members = np.ones((GROUPS, MEMBERS)) if members is None else members
         self.p = {
-            "enter": (rng.standard_normal((CLASSES, 3 * HIDDEN)) * 0.3).astype(f),
+            "enter": (rng.standard_normal((CLASSES, 3 * HIDDEN)) * 0.3).astype(f)[_CLASS],
             "turn": (rng.standard_normal((HIDDEN, 3 * HIDDEN)) / np.sqrt(HIDDEN)).astype(f),
             "bias": np.concatenate([np.ones(HIDDEN), np.zeros(2 * HIDDEN)]).astype(f),
             "leave": (rng.standard_normal((HIDDEN, CLASSES)) * 0.1).astype(f),
             "base": np.log(prior / prior.sum()).astype(f),
+            "inner": (rng.standard_normal((GROUPS, HIDDEN, MEMBERS)) * 0.1).astype(f),
+            "inner_base": np.where(members > 0, np.log(np.maximum(members, 1e-9) / np.maximum(members.sum(axis=1, keepdims=True), 1e-9)), -1e4).astype(f),
         }
         self.m = {k: np.zeros_like(v) for k, v in self.p.items()}
         self.v = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -173,34 +247,63 @@ class Network:
         new = np.tanh(x[:, 2 * n :] + gate[:, n:] * a[:, 2 * n :])
         return new + gate[:, :n] * (h - new)
 
+    def grouped(self, wanted: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """``(group, places in wanted, members)`` of the words of each group."""
+        place = np.flatnonzero((wanted >= SINGLES) & (wanted < OWN))
+        word = wanted[place] - SINGLES
+        order = np.argsort((word // MEMBERS).astype(np.uint8), kind="stable")
+        place, word = place[order], word[order]
+        at = np.searchsorted(word // MEMBERS, np.arange(GROUPS + 1))
+        return [(g, place[a:b], word[a:b] % MEMBERS) for g, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
+
     def learn(self, h: np.ndarray, before: np.ndarray, after: np.ndarray, rate: float) -> tuple[np.ndarray, float]:
-        """One truncated backpropagation over (steps, streams) classes, -1 in ``after`` where a stream is over; the state is carried on."""
+        """One truncated backpropagation over (steps, streams) words, -1 in ``after`` where a stream is over; the state is carried on."""
         p, n = self.p, HIDDEN
         steps, streams = before.shape
-        enter, turn, back_turn = p["enter"] + p["bias"], p["turn"], np.ascontiguousarray(p["turn"].T)
-        inputs = enter[before]
+        turn, back_turn = p["turn"], np.ascontiguousarray(p["turn"].T)
+        inputs = p["enter"][before]
+        inputs += p["bias"]
         hs = np.empty((steps + 1, streams, n), inputs.dtype)
         gates, news, ans = np.empty((steps, streams, 2 * n), inputs.dtype), np.empty_like(hs[1:]), np.empty_like(hs[1:])
         hs[0] = h
         for t in range(steps):
             x, a = inputs[t], hs[t] @ turn
-            gate = np.divide(1, 1 + np.exp(-(x[:, : 2 * n] + a[:, : 2 * n])), out=gates[t])
+            gate = np.add(x[:, : 2 * n], a[:, : 2 * n], out=gates[t])
+            np.negative(gate, out=gate)
+            np.exp(gate, out=gate)
+            gate += 1
+            np.reciprocal(gate, out=gate)
             ans[t] = a[:, 2 * n :]
             new = np.tanh(x[:, 2 * n :] + gate[:, n:] * ans[t], out=news[t])
             hs[t + 1] = new + gate[:, :n] * (hs[t] - new)
-        states, real = hs[1:].reshape(-1, n), np.flatnonzero(after.ravel() >= 0)
-        out = states @ p["leave"] + p["base"]
+        states, wanted = hs[1:].reshape(-1, n), after.ravel()
+        real = np.flatnonzero(wanted >= 0)
+        out = states @ p["leave"]
+        out += p["base"]
         out -= out.max(axis=1, keepdims=True)
         np.exp(out, out=out)
         out /= out.sum(axis=1, keepdims=True)
-        wanted = after.ravel()[real]
-        loss = float(-np.log(np.maximum(out[real, wanted], 1e-30)).mean())
-        out[real, wanted] -= 1
+        cls = _CLASS[wanted[real]]
+        loss = float(-np.log(np.maximum(out[real, cls], 1e-30)).sum())
+        out[real, cls] -= 1
         if len(real) < after.size:
-            out[after.ravel() < 0] = 0
+            out[wanted < 0] = 0
         out /= len(real)
-        g = {"leave": states.T @ out, "base": out.sum(axis=0)}
-        back = (out @ p["leave"].T).reshape(steps, streams, n)
+        g = {"leave": states.T @ out, "base": out.sum(axis=0), "inner": np.zeros_like(p["inner"]), "inner_base": np.zeros_like(p["inner_base"])}
+        back = out @ p["leave"].T
+        for k, place, member in self.grouped(wanted):
+            x, each = states[place], np.arange(len(place))
+            z = x @ p["inner"][k] + p["inner_base"][k]
+            z -= z.max(axis=1, keepdims=True)
+            np.exp(z, out=z)
+            z /= z.sum(axis=1, keepdims=True)
+            loss -= float(np.log(np.maximum(z[each, member], 1e-30)).sum())
+            z[each, member] -= 1
+            z /= len(real)
+            g["inner"][k], g["inner_base"][k] = x.T @ z, z.sum(axis=0)
+            back[place] += z @ p["inner"][k].T
+        loss /= len(real)
+        back = back.reshape(steps, streams, n)
         # What the gradient of a step is multiplied with, for all steps at once.
         z, r = gates[:, :, :n], gates[:, :, n:]
         to_new = (1 - z) * (1 - news * news)
@@ -218,60 +321,73 @@ class Network:
             np.multiply(dnew, r[t], out=da[t, :, 2 * n :])
             dh = dh * z[t] + da[t] @ back_turn
         flat = dx.reshape(-1, 3 * n)
-        one = np.zeros((before.size, CLASSES), inputs.dtype)
-        one[np.arange(before.size), before.ravel()] = 1
-        g |= {"enter": one.T @ flat, "bias": flat.sum(axis=0), "turn": hs[:-1].reshape(-1, n).T @ da.reshape(-1, 3 * n)}
+        order = np.argsort(before.ravel().astype(np.uint16), kind="stable")
+        read = before.ravel()[order]
+        edge = np.flatnonzero(np.concatenate([[True], read[1:] != read[:-1]]))
+        enter = np.zeros_like(p["enter"])
+        enter[read[edge]] = np.add.reduceat(flat[order], edge)
+        g |= {"enter": enter, "bias": flat.sum(axis=0), "turn": hs[:-1].reshape(-1, n).T @ da.reshape(-1, 3 * n)}
         h = hs[-1]
         self.t += 1
         size = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
+        clip = min(1.0, 1.0 / max(size, 1e-9))
         for k, x in g.items():
-            x = x * min(1.0, 1.0 / max(size, 1e-9))
-            self.m[k] = 0.9 * self.m[k] + 0.1 * x
-            self.v[k] = 0.99 * self.v[k] + 0.01 * x * x
-            p[k] -= (rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-6)).astype(np.float32)
+            x *= clip
+            m, v = self.m[k], self.v[k]
+            m += 0.1 * (x - m)
+            v += 0.01 * (x * x - v)
+            x = np.sqrt(v / (1 - 0.99**self.t))
+            x += 1e-6
+            np.divide(m, x, out=x)
+            p[k] -= (rate / (1 - 0.9**self.t)) * x
         return h, loss
 
-    def learn_stream(self, classes: np.ndarray, rate: float) -> float:
-        """Learn every class of a sequence, the first as what follows an end; it is cut into at most STREAMS side by side."""
-        if not len(classes):
+    def learn_stream(self, words: np.ndarray, rate: float, most: int = STREAMS) -> float:
+        """Learn every word of a sequence, the first as what follows an end; it is cut into at most ``most`` streams side by side."""
+        if not len(words):
             return np.nan
-        length = -(-len(classes) // max(1, min(STREAMS, len(classes) // WINDOW)))
-        streams = -(-len(classes) // length)
+        length = -(-len(words) // max(1, min(most, len(words) // WINDOW)))
+        streams = -(-len(words) // length)
 
         def grid(x: np.ndarray, fill: int) -> np.ndarray:
-            return np.concatenate([x, np.full(streams * length - len(x), fill)]).reshape(streams, length).T
+            return np.concatenate([x, np.full(streams * length - len(x), fill, x.dtype)]).reshape(streams, length).T
 
-        before, after = grid(np.concatenate([[END_CLASS], classes[:-1]]), END_CLASS), grid(classes, -1)
+        before, after = grid(np.concatenate([[END_SYMBOL], words[:-1]]), END_SYMBOL), grid(words, -1)
         h, losses = np.zeros((streams, HIDDEN), np.float32), []
         for a in range(0, length, WINDOW):
             h, loss = self.learn(h, before[a : a + WINDOW], after[a : a + WINDOW], rate)
             losses.append(loss)
         return float(np.mean(losses))
 
-    def log10_of(self, classes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Sum over each row's classes of log10 p(class | those before); rows in lockstep, state carried."""
+    def log10_of(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Sum over each row's words of log10 p(word's class, word in its group | those before); rows in lockstep, state carried."""
         count = np.diff(first)
         order = np.argsort(-count, kind="stable")
         start, count = first[:-1][order], count[order]
         total = np.zeros(len(count))
         h = np.zeros((len(count), HIDDEN), np.float32)
-        before = np.full(len(count), END_CLASS)
+        before = np.full(len(count), END_SYMBOL)
         steps = int(count[0]) if len(count) else 0
         active = np.searchsorted(-count, -np.arange(steps), "left")
-        leave, base = self.p["leave"], self.p["base"]
+        leave, base, inner, inner_base = (self.p[k] for k in ("leave", "base", "inner", "inner_base"))
         for a in range(0, steps, WINDOW):
             states, wanted, rows = [], [], []
             for t in range(a, min(a + WINDOW, steps)):
                 n = active[t]
                 h = self.step(h[:n], before[:n])
-                now = classes[start[:n] + t]
+                now = words[start[:n] + t]
                 states.append(h)
                 wanted.append(now)
                 rows.append(np.arange(n))
                 before = now
-            logits = np.concatenate(states) @ leave + base
-            want = np.concatenate(wanted)
-            got = logits[np.arange(len(want)), want] - _logsumexp(logits)
+            states, want = np.concatenate(states), np.concatenate(wanted)
+            logits = states @ leave
+            logits += base
+            got = logits[np.arange(len(want)), _CLASS[want]] - _logsumexp(logits)
+            for k, place, member in self.grouped(want):
+                z = states[place] @ inner[k]
+                z += inner_base[k]
+                got[place] += z[np.arange(len(place)), member] - _logsumexp(z)
             total += np.bincount(np.concatenate(rows), weights=got, minlength=len(total))
         out = np.zeros(len(total))
         out[order] = total / np.log(10)
@@ -280,32 +396,40 @@ class Network:
 
 def _logsumexp(x: np.ndarray) -> np.ndarray:
     top = x.max(axis=1)
-    return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+    x = x - top[:, None]
+    return top + np.log(np.exp(x, out=x).sum(axis=1))
 
 
 class Vocabulary:
-    """Hot words: sorted hashes with class, log10 share in the class and count."""
+    """Hot words: sorted hashes with symbol, log10 share in a class that has no softmax of its own, and count."""
 
     def __init__(self, h: np.ndarray, w: list[bytes], n: np.ndarray, total: int, types: int):
         order = np.argsort(h)
         self.h, self.n = h[order], n[order]
         words = [w[i] or b" " for i in order]
-        size = np.array([len(x) for x in words])
+        size = np.array([len(x) for x in words], np.int64)
         data = np.frombuffer(b"".join(words), np.uint8)
         ends = np.cumsum(size)
         real = self.h != END
         self.table = np.zeros((TRIGRAMS, CLUSTERS), np.float32)
         if real.any():
             self.table = _cluster_table(data, (ends - size)[real], ends[real], np.sqrt(self.n[real].astype(float)))
-        self.cls = SINGLES + spelled(self.table, data, ends - size, ends)
-        top = np.argsort(-np.where(real, self.n, 0), kind="stable")[: min(SINGLES, int(real.sum()))]
-        self.cls[top] = np.arange(len(top))
-        self.cls[~real] = END_CLASS
-        mass = np.bincount(self.cls, weights=self.n, minlength=CLASSES)
-        self.share = np.log10(self.n / mass[self.cls])
+        cluster = spelled(self.table, data, ends - size, ends)
+        self.symbol = OWN + cluster
+        top = np.argsort(-np.where(real, self.n, 0), kind="stable")[: min(OWN, int(real.sum()))]
+        self.symbol[top[:SINGLES]] = np.arange(min(SINGLES, len(top)))
+        rest = top[SINGLES:]
+        rest = rest[np.argsort(cluster[rest], kind="stable")]  # groups of like spelling, common words first
+        self.symbol[rest] = SINGLES + np.arange(len(rest))
+        self.symbol[~real] = END_SYMBOL
+        self.mass = np.bincount(_CLASS[self.symbol], weights=self.n, minlength=CLASSES)
+        self.members = np.bincount(self.symbol, weights=self.n, minlength=SYMBOLS)[SINGLES:OWN].reshape(GROUPS, MEMBERS)
+        self.share = np.where(self.symbol < OWN, 0.0, np.log10(self.n / self.mass[_CLASS[self.symbol]]))
         self.floor = total + 0.1 * (types + 1)
         self.base = np.log10((self.n + 0.1) / self.floor)
-        self.mass = mass
+        self.letters = Letters(data)
+        places = self.letters.places(data, (ends - size)[real], ends[real], cluster[real])[:3]
+        self.spelled = np.bincount(np.concatenate(places), minlength=Letters.SIZE)  # for the letter model, until the rare words are added
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.h):
@@ -314,17 +438,18 @@ class Vocabulary:
         at[at == len(self.h)] = 0
         return at, self.h[at] == hashes
 
-    def classes_of(self, column: pa.Array):
-        """``(classes with ends, rows' offsets, hot places and rows, rare hashes, clusters and rows)`` of texts."""
+    def read(self, column: pa.Array, spell: bool = False):
+        """``(symbols with ends, rows' offsets, hot places and rows, (rare hashes, clusters, spelling, rows))`` of texts."""
         low, starts, ends, first = _words(column)
         hashes = _text.word_hashes(low, starts, ends)
         at, hot = self.look_up(hashes)
-        cls = np.where(hot, self.cls[at], 0) if len(self.h) else np.zeros(len(hashes), np.int64)
+        symbols = np.where(hot, self.symbol[at], 0) if len(self.h) else np.zeros(len(hashes), np.int64)
         rare = np.flatnonzero(~hot)
         cluster = spelled(self.table, low, starts[rare], ends[rare])
-        cls[rare] = SINGLES + CLUSTERS + cluster
+        symbols[rare] = OWN + CLUSTERS + cluster
         row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        return np.insert(cls, first[1:], END_CLASS), first + np.arange(len(first)), at[hot], row[hot], hashes[rare], cluster, row[rare]
+        words = np.insert(symbols.astype(np.int32), first[1:], END_SYMBOL)
+        return words, first + np.arange(len(first)), at[hot], row[hot], (hashes[rare], cluster, self.letters.log10_of(low, starts[rare], ends[rare], cluster) if spell else None, row[rare])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
@@ -348,9 +473,9 @@ def _adapt(vocabulary: Vocabulary, network: Network):
         own.load(network.value.flat())
         tokens = 0
         for held in _groups(batches, 0):
-            classes = np.concatenate([vocabulary.value.classes_of(x.column(0))[0] for x in held])
-            own.learn_stream(classes, 0.002)
-            tokens += len(classes)
+            words = np.concatenate([vocabulary.value.read(x.column(0))[0] for x in held])
+            own.learn_stream(words, 0.003)
+            tokens += len(words)
         if tokens:
             flat = own.flat()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat.astype(np.float64) * tokens), pa.array(np.full(len(flat), float(tokens)))], ["i", "x", "n"])
@@ -358,6 +483,24 @@ def _adapt(vocabulary: Vocabulary, network: Network):
     return run
 
 
+def _start(docs: DataFrame, vocabulary) -> np.ndarray:
+    """The words of the start sample: the texts of the first ids by hash, of as many as fit into START_BYTES.
+    Ids and sizes are ranked first; texts of the chosen ids alone are read, one to an id."""
+    size = F.octet_length("text")
+    key = F.xxhash64(F.col("doc_id").cast("string"), F.lit("start"))
+    ranked = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").where(size <= START_BYTES // 16).groupBy("doc_id", key.alias("key")).agg(F.max(size).alias("size"))
+    ids, left = set(), START_BYTES
+    for r in ranked.orderBy("key", "doc_id").limit(START_DOCS).collect():
+        if r["size"] <= left:
+            ids.add(r["doc_id"])
+            left -= r["size"]
+    if not ids:
+        return np.zeros(0, np.int64)
+    texts = docs.where(F.col("doc_id").isin(sorted(ids)) & (size <= START_BYTES // 16)).groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").select("text").toArrow().combine_chunks()
+    parts = [vocabulary.read(b.column(0))[0] for b in texts.to_batches() if b.num_rows]
+    return np.concatenate(parts)
+
+
 class Model:
     def __init__(self, vocabulary: Vocabulary, network: Network | None, unseen: np.ndarray, mass: np.ndarray, total: int, types: int):
         self.vocabulary, self.network, self.unseen, self.mass, self.total, self.types = vocabulary, network, unseen, mass, total, types
@@ -376,31 +519,50 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
         if reached > HOT or r["n"] < LEAST_HOT:
             break
         cut = r["n"]
-    hot = counts.where(F.col("n") >= (cut if cut is not None else 1 << 62)).select("h", F.substring("w", 1, 64).alias("w"), "n").toArrow()
+    hot = counts.where(F.col("n") >= (cut if cut is not None else 1 << 62)).select("h", F.substring("w", 1, SPELLED).alias("w"), "n").toArrow()
     vocabulary = Vocabulary(hot.column("h").to_numpy().view(np.uint64), hot.column("w").to_pylist(), hot.column("n").to_numpy(), total, types)
-    shared = spark.sparkContext.broadcast(vocabulary)
+    bare = spark.sparkContext.broadcast((vocabulary.table, vocabulary.letters))
 
-    def cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tokens and words seen once of each cluster (keys 0 and 1 a cluster), and the letter model's counts (from 2 * CLUSTERS on)."""
+        table, letters = bare.value
+        few, many = np.zeros(2 * CLUSTERS), np.zeros(letters.SIZE)
+        held: list[np.ndarray] = []
         for batch in batches:
             data, at = _text.text_bytes(batch.column(0).cast(pa.binary()))
-            yield pa.RecordBatch.from_arrays([pa.array(spelled(shared.value.table, data, at[:-1], at[1:])), batch.column(1)], ["k", "n"])
+            k, n = spelled(table, data, at[:-1], at[1:]), batch.column(1).to_numpy()
+            few[::2] += np.bincount(k, weights=n, minlength=CLUSTERS)
+            few[1::2] += np.bincount(k, weights=n == 1, minlength=CLUSTERS)
+            if len(k):
+                held += letters.places(data, at[:-1], at[1:], k)[:3]
+            if sum(map(len, held)) > 1 << 22:
+                many += np.bincount(np.concatenate(held), minlength=letters.SIZE)
+                held = []
+        if held:
+            many += np.bincount(np.concatenate(held), minlength=letters.SIZE)
+        total = np.concatenate([few, many])
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["k", "n"])
 
     rare = counts.where(F.col("n") < (cut if cut is not None else 1 << 62)).where(F.length("w") > 0).select("w", "n")
-    sums = rare.mapInArrow(cluster, "k long, n long").groupBy("k").agg(F.sum("n").alias("m"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("once")).collect()
-    mass, once = np.zeros(CLUSTERS), np.zeros(CLUSTERS)
-    for r in sums:
-        mass[r["k"]], once[r["k"]] = r["m"], r["once"]
+    sums = rare.mapInArrow(rare_words, "k long, n double").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    key, sums = sums.column("k").to_numpy(), sums.column("n").to_numpy()
+    few = np.zeros(2 * CLUSTERS)
+    few[key[key < len(few)]] = sums[key < len(few)]
+    mass, once = few[::2], few[1::2]
+    vocabulary.spelled[key[key >= len(few)] - len(few)] += sums[key >= len(few)].astype(np.int64)
+    vocabulary.letters.learn(vocabulary.spelled)
+    del vocabulary.spelled
+    shared = spark.sparkContext.broadcast(vocabulary)
     unseen = np.clip((once + 0.5) / (mass + 1), 1e-6, 0.9)
     prior = vocabulary.mass + 0.5
-    prior[SINGLES + CLUSTERS : SINGLES + 2 * CLUSTERS] += mass
+    prior[SINGLES + GROUPS + CLUSTERS : SINGLES + GROUPS + 2 * CLUSTERS] += mass
     network = None
     if total:
-        network = Network(prior)
-        start = docs.select("doc_id", "text").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit("start"))).limit(START_DOCS).select("text").toArrow().combine_chunks()
-        parts = [vocabulary.classes_of(b.column(0))[0] for b in start.to_batches() if b.num_rows]
-        classes = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        network = Network(prior, vocabulary.members)
+        words = _start(docs, vocabulary)
         for rate in (0.01, 0.005, 0.003):
-            network.learn_stream(classes, rate)
+            network.learn_stream(words, rate, START_STREAMS)
         first = spark.sparkContext.broadcast(network)
         learned = docs.select("text").mapInArrow(_adapt(shared, first), "i long, x double, n double").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toArrow()
         if learned.num_rows:
@@ -410,7 +572,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     return Model(vocabulary, network, unseen, mass, total, types), counts.select("h", "n")
 
 
-_SCORED = "doc_id long, n_tokens long, hot_known long, hot_base double, hot_score double, rare array<struct<h: long, k: int, tf: int>>"
+_SCORED = "doc_id long, n_tokens long, hot_known long, hot_base double, hot_score double, rare array<struct<h: long, k: int, tf: int, s: float>>"
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
@@ -424,17 +586,17 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         v = m.vocabulary
         end, has_end = v.look_up(np.array([END]))
         end_base = float(v.base[end[0]]) if has_end[0] else float(np.log10(0.1 / v.floor))
-        kind = pa.struct([("h", pa.int64()), ("k", pa.int32()), ("tf", pa.int32())])
+        kind = pa.struct([("h", pa.int64()), ("k", pa.int32()), ("tf", pa.int32()), ("s", pa.float32())])
         for held in _groups(batches, 1):
-            parts = [v.classes_of(x.column(1)) for x in held]
+            parts = [v.read(x.column(1), spell=True) for x in held]
             rows = np.array([x.num_rows for x in held])
-            classes = np.concatenate([p[0] for p in parts])
+            words = np.concatenate([p[0] for p in parts])
             base_at = np.cumsum([0, *[len(p[0]) for p in parts]])
             first = np.concatenate([*[p[1][:-1] + b for p, b in zip(parts, base_at, strict=False)], [base_at[-1]]])
-            net = m.network.log10_of(classes, first) if m.network else np.zeros(int(rows.sum()))
+            net = m.network.log10_of(words, first) if m.network else np.zeros(int(rows.sum()))
             done = 0
             for x, p in zip(held, parts, strict=True):
-                _, at, hot, hot_row, h, k, row = p
+                _, at, hot, hot_row, (h, k, letters, row) = p
                 n = x.num_rows
                 size = np.diff(at)
                 known = np.bincount(hot_row, minlength=n) + int(has_end[0])
@@ -442,25 +604,25 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 share = np.bincount(hot_row, weights=v.share[hot], minlength=n) + net[done : done + n]
                 done += n
                 order = np.lexsort((h, row))
-                h, k, row = h[order], k[order], row[order]
+                h, k, letters, row = h[order], k[order], letters[order], row[order]
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
                 edge = np.flatnonzero(new)
                 tf = np.diff(np.append(edge, len(h)))
                 to = np.searchsorted(row[edge], np.arange(n + 1))
-                items = pa.StructArray.from_arrays([pa.array(_text.signed(h[edge])), pa.array(k[edge].astype(np.int32)), pa.array(tf.astype(np.int32))], fields=list(kind))
+                items = pa.StructArray.from_arrays([pa.array(_text.signed(h[edge])), pa.array(k[edge].astype(np.int32)), pa.array(tf.astype(np.int32)), pa.array(letters[edge].astype(np.float32))], fields=list(kind))
                 rare = pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), items)
                 yield pa.RecordBatch.from_arrays([x.column(0), pa.array(size), pa.array(known), pa.array(base), pa.array(share), rare], ["doc_id", "n_tokens", "hot_known", "hot_base", "hot_score", "rare"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCORED)
     scored = scratch.materialize(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode("rare").alias("x")).select("row", "x.h", "x.k", "x.tf")
+    rare = scored.select("row", F.explode("rare").alias("x")).select("row", "x.h", "x.k", "x.tf", "x.s")
     # Counts of a hash are summed, should two words ever share one.
     n = F.coalesce("n", F.lit(0))
     share = F.lit(0.0)
     for k in range(CLUSTERS):
         seen = F.log10(n * F.lit(float((1 - model.unseen[k]) / max(model.mass[k], 1.0))))
-        share = share + F.when(F.col("k") == k, F.when(n > 0, seen).otherwise(F.lit(float(np.log10(model.unseen[k]))))).otherwise(0.0)
+        share = share + F.when(F.col("k") == k, F.when(n > 0, seen).otherwise(F.col("s") + F.lit(float(np.log10(model.unseen[k]))))).otherwise(0.0)
     terms = rare.join(counts.hint("merge"), "h", "left").select(
         "row",
         F.when(n > 0, F.col("tf")).otherwise(0).alias("known"),
