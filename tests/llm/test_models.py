@@ -203,7 +203,7 @@ def test_gradients_and_carried_state():
     assert got == pytest.approx(loss(start))
     slopes = {}
     for k in net.NAMES:
-        places = {"enter": (int(before[0, 0]), 7), "inner": (0, 3, 1), "inner_base": (0, 1)}
+        places = {"enter": (1, int(before[0, 0]), 7), "inner": (0, 3, 1), "inner_base": (0, 1)}
         i = places.get(k) or tuple(int(rng.integers(0, n)) for n in start[k].shape)
         up, down = {x: y.copy() for x, y in start.items()}, {x: y.copy() for x, y in start.items()}
         up[k][i] += 1e-5

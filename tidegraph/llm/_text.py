@@ -85,18 +85,35 @@ def powers(n: int) -> np.ndarray:
     return _powers
 
 
+_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
+_BLOCK = 1 << 17
+with np.errstate(over="ignore"):
+    _backs = np.concatenate([[np.uint64(1)], np.cumprod(np.full(_BLOCK, _INVERSE))]).astype(np.uint64)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    size = ends - starts
-    begin = np.cumsum(size) - size
-    place = np.arange(int(size.sum()), dtype=np.int64)
-    within = place - np.repeat(begin, size)
-    source = within + np.repeat(starts, size)
+    """A 64-bit hash of each word's bytes: the sum of their values times the powers of ``_P`` by their place in the
+    word, taken as differences of running sums over blocks of words."""
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
     with np.errstate(over="ignore"):
-        total = np.add.reduceat(_BYTE[data[source]] * powers(int(size.max()) + 1)[within], begin)
-        return mix(total + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        while i < len(starts):
+            base = int(starts[i])
+            j = max(i + 1, int(np.searchsorted(ends, base + _BLOCK, "right")))
+            size = int(ends[j - 1]) - base
+            run = np.zeros(size + 1, np.uint64)
+            if size <= _BLOCK:
+                np.cumsum(_BYTE[data[base : base + size]] * powers(size)[:size], out=run[1:])
+                first = starts[i:j] - base
+                out[i:j] = (run[ends[i:j] - base] - run[first]) * _backs[first]
+            else:  # one very long word
+                power = np.uint64(1)
+                for a in range(base, base + size, _BLOCK):
+                    part = _BYTE[data[a : min(a + _BLOCK, base + size)]]
+                    out[i] += (part * powers(_BLOCK)[: len(part)]).sum(dtype=np.uint64) * power
+                    power *= powers(_BLOCK + 1)[_BLOCK]
+            i = j
+        return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 _A = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)

@@ -44,7 +44,7 @@ from tidegraph.llm import _text
 
 HOT = 1 << 17
 LEAST_HOT = 3
-SINGLES, GROUPS, MEMBERS, CLUSTERS = 32, 16, 64, 16
+SINGLES, GROUPS, MEMBERS, CLUSTERS = 24, 16, 64, 12
 #: What the network reads: single words, members of groups, hot and rare clusters, the end.
 OWN = SINGLES + GROUPS * MEMBERS
 SYMBOLS = OWN + 2 * CLUSTERS + 1
@@ -219,9 +219,10 @@ class Network:
         f = np.float32
         members = np.ones((GROUPS, MEMBERS)) if members is None else members
         self.p = {
-            "enter": (rng.standard_normal((CLASSES, 3 * HIDDEN)) * 0.3).astype(f)[_CLASS],
-            "turn": (rng.standard_normal((HIDDEN, 3 * HIDDEN)) / np.sqrt(HIDDEN)).astype(f),
-            "bias": np.concatenate([np.ones(HIDDEN), np.zeros(2 * HIDDEN)]).astype(f),
+            # Of the update gate, the reset gate and the new state.
+            "enter": (rng.standard_normal((3, CLASSES, HIDDEN)) * 0.3).astype(f)[:, _CLASS],
+            "turn": (rng.standard_normal((3, HIDDEN, HIDDEN)) / np.sqrt(HIDDEN)).astype(f),
+            "bias": np.stack([np.ones(HIDDEN), np.zeros(HIDDEN), np.zeros(HIDDEN)]).astype(f),
             "leave": (rng.standard_normal((HIDDEN, CLASSES)) * 0.1).astype(f),
             "base": np.log(prior / prior.sum()).astype(f),
             "inner": (rng.standard_normal((GROUPS, HIDDEN, MEMBERS)) * 0.1).astype(f),
@@ -241,92 +242,121 @@ class Network:
             self.p[k] = flat[at : at + size].reshape(self.p[k].shape).astype(np.float32)
             at += size
 
-    def step(self, h: np.ndarray, before: np.ndarray) -> np.ndarray:
-        x, a, n = self.p["enter"][before] + self.p["bias"], h @ self.p["turn"], HIDDEN
-        gate = 1 / (1 + np.exp(-(x[:, : 2 * n] + a[:, : 2 * n])))
-        new = np.tanh(x[:, 2 * n :] + gate[:, n:] * a[:, 2 * n :])
-        return new + gate[:, :n] * (h - new)
+    def step(self, h: np.ndarray, before: np.ndarray, enter: np.ndarray | None = None) -> np.ndarray:
+        """The state after another word; ``enter``: the weights of words with the bias added."""
+        x = (self.p["enter"] + self.p["bias"][:, None] if enter is None else enter)[:, before]
+        a = h @ self.p["turn"]
+        gate = _sigmoid(np.add(x[:2], a[:2], out=x[:2]))
+        new = gate[1] * a[2]
+        new += x[2]
+        np.tanh(new, out=new)
+        out = h - new
+        out *= gate[0]
+        out += new
+        return out
 
-    def grouped(self, wanted: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """``(group, places in wanted, members)`` of the words of each group."""
+    def grouped(self, wanted: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words of groups laid out as (GROUPS, most words of a group): ``(their places in wanted, places in the layout, members, states in the layout)``."""
         place = np.flatnonzero((wanted >= SINGLES) & (wanted < OWN))
         word = wanted[place] - SINGLES
-        order = np.argsort((word // MEMBERS).astype(np.uint8), kind="stable")
-        place, word = place[order], word[order]
-        at = np.searchsorted(word // MEMBERS, np.arange(GROUPS + 1))
-        return [(g, place[a:b], word[a:b] % MEMBERS) for g, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
+        group = word // MEMBERS
+        order = np.argsort(group.astype(np.uint8), kind="stable")
+        place, word, group = place[order], word[order], group[order]
+        count = np.bincount(group, minlength=GROUPS)
+        most = int(count.max())
+        at = np.arange(len(group)) + np.repeat(np.arange(GROUPS) * most - np.cumsum(count) + count, count)
+        laid = np.zeros((GROUPS * most, HIDDEN), states.dtype)
+        laid[at] = states[place]
+        return place, at, word % MEMBERS, laid.reshape(GROUPS, most, HIDDEN)
 
     def learn(self, h: np.ndarray, before: np.ndarray, after: np.ndarray, rate: float) -> tuple[np.ndarray, float]:
         """One truncated backpropagation over (steps, streams) words, -1 in ``after`` where a stream is over; the state is carried on."""
         p, n = self.p, HIDDEN
         steps, streams = before.shape
-        turn, back_turn = p["turn"], np.ascontiguousarray(p["turn"].T)
-        inputs = p["enter"][before]
-        inputs += p["bias"]
+        turn, back_turn = p["turn"], np.ascontiguousarray(p["turn"].transpose(0, 2, 1))
+        inputs = (p["enter"] + p["bias"][:, None])[:, before]
         hs = np.empty((steps + 1, streams, n), inputs.dtype)
-        gates, news, ans = np.empty((steps, streams, 2 * n), inputs.dtype), np.empty_like(hs[1:]), np.empty_like(hs[1:])
+        gates, news, ans = np.empty((steps, 2, streams, n), inputs.dtype), np.empty_like(hs[1:]), np.empty_like(hs[1:])
         hs[0] = h
         for t in range(steps):
-            x, a = inputs[t], hs[t] @ turn
-            gate = np.add(x[:, : 2 * n], a[:, : 2 * n], out=gates[t])
-            np.negative(gate, out=gate)
-            np.exp(gate, out=gate)
-            gate += 1
-            np.reciprocal(gate, out=gate)
-            ans[t] = a[:, 2 * n :]
-            new = np.tanh(x[:, 2 * n :] + gate[:, n:] * ans[t], out=news[t])
-            hs[t + 1] = new + gate[:, :n] * (hs[t] - new)
+            a = hs[t] @ turn
+            gate = _sigmoid(np.add(inputs[:2, t], a[:2], out=gates[t]))
+            ans[t] = a[2]
+            new = np.multiply(gate[1], a[2], out=news[t])
+            new += inputs[2, t]
+            np.tanh(new, out=new)
+            now = np.subtract(hs[t], new, out=hs[t + 1])
+            now *= gate[0]
+            now += new
         states, wanted = hs[1:].reshape(-1, n), after.ravel()
         real = np.flatnonzero(wanted >= 0)
         out = states @ p["leave"]
         out += p["base"]
-        out -= out.max(axis=1, keepdims=True)
-        np.exp(out, out=out)
-        out /= out.sum(axis=1, keepdims=True)
-        cls = _CLASS[wanted[real]]
-        loss = float(-np.log(np.maximum(out[real, cls], 1e-30)).sum())
-        out[real, cls] -= 1
+        total = _exp(out, _bound(p["leave"], p["base"]))
+        cls, one = _CLASS[wanted[real]], 1 / len(real)
+        loss = float(-np.log(np.maximum(out[real, cls] / total[real, 0], 1e-30)).sum())
+        out *= one / total
+        out[real, cls] -= one
         if len(real) < after.size:
             out[wanted < 0] = 0
-        out /= len(real)
         g = {"leave": states.T @ out, "base": out.sum(axis=0), "inner": np.zeros_like(p["inner"]), "inner_base": np.zeros_like(p["inner_base"])}
         back = out @ p["leave"].T
-        for k, place, member in self.grouped(wanted):
-            x, each = states[place], np.arange(len(place))
-            z = x @ p["inner"][k] + p["inner_base"][k]
-            z -= z.max(axis=1, keepdims=True)
-            np.exp(z, out=z)
-            z /= z.sum(axis=1, keepdims=True)
-            loss -= float(np.log(np.maximum(z[each, member], 1e-30)).sum())
-            z[each, member] -= 1
-            z /= len(real)
-            g["inner"][k], g["inner_base"][k] = x.T @ z, z.sum(axis=0)
-            back[place] += z @ p["inner"][k].T
+        place, at, member, x = self.grouped(wanted, states)
+        if len(place):
+            z = x @ p["inner"]
+            z += p["inner_base"][:, None]
+            z = z.reshape(-1, MEMBERS)
+            total = _exp(z, _bound(p["inner"], p["inner_base"]))
+            loss -= float(np.log(np.maximum(z[at, member] / total[at, 0], 1e-30)).sum())
+            scale = np.zeros_like(total)
+            scale[at] = one / total[at]
+            z *= scale
+            z[at, member] -= one
+            z = z.reshape(*x.shape[:2], MEMBERS)
+            g["inner"], g["inner_base"] = x.transpose(0, 2, 1) @ z, z.sum(axis=1)
+            back[place] += (z @ p["inner"].transpose(0, 2, 1)).reshape(-1, n)[at]
         loss /= len(real)
         back = back.reshape(steps, streams, n)
         # What the gradient of a step is multiplied with, for all steps at once.
-        z, r = gates[:, :, :n], gates[:, :, n:]
-        to_new = (1 - z) * (1 - news * news)
-        to_z = (hs[:-1] - news) * z * (1 - z)
-        to_r = ans * r * (1 - r)
-        dx = np.empty((steps, streams, 3 * n), inputs.dtype)
-        da = np.empty_like(dx)
+        z, r = gates[:, 0], gates[:, 1]
+        kept = 1 - z
+        to_new = kept * (1 - news * news)
+        to_z = hs[:-1] - news
+        to_z *= z
+        to_z *= kept
+        to_r = ans * r
+        to_r *= 1 - r
+        dx = np.empty((3, steps, streams, n), inputs.dtype)
+        da = np.empty((steps, 3, streams, n), inputs.dtype)
         dh = np.zeros_like(hs[0])
         for t in range(steps - 1, -1, -1):
-            dh = dh + back[t]
-            dnew = np.multiply(dh, to_new[t], out=dx[t, :, 2 * n :])
-            np.multiply(dh, to_z[t], out=dx[t, :, :n])
-            np.multiply(dnew, to_r[t], out=dx[t, :, n : 2 * n])
-            da[t, :, : 2 * n] = dx[t, :, : 2 * n]
-            np.multiply(dnew, r[t], out=da[t, :, 2 * n :])
-            dh = dh * z[t] + da[t] @ back_turn
-        flat = dx.reshape(-1, 3 * n)
-        order = np.argsort(before.ravel().astype(np.uint16), kind="stable")
-        read = before.ravel()[order]
-        edge = np.flatnonzero(np.concatenate([[True], read[1:] != read[:-1]]))
+            dh += back[t]
+            dnew = np.multiply(dh, to_new[t], out=dx[2, t])
+            d = da[t]
+            np.multiply(dh, to_z[t], out=d[0])
+            np.multiply(dnew, to_r[t], out=d[1])
+            np.multiply(dnew, r[t], out=d[2])
+            dh *= z[t]
+            dh += (d @ back_turn).sum(axis=0)
+        da = da.transpose(1, 0, 2, 3)
+        dx[:2] = da[:2]
+        flat, read = dx.reshape(3, -1, n), before.ravel()
+        # Gradients by word: members of groups are sorted, all others (few symbols) are summed by a product.
         enter = np.zeros_like(p["enter"])
-        enter[read[edge]] = np.add.reduceat(flat[order], edge)
-        g |= {"enter": enter, "bias": flat.sum(axis=0), "turn": hs[:-1].reshape(-1, n).T @ da.reshape(-1, 3 * n)}
+        inside = (read >= SINGLES) & (read < OWN)
+        place = np.flatnonzero(inside)
+        if len(place):
+            place = place[np.argsort(read[place].astype(np.uint16), kind="stable")]
+            word = read[place]
+            edge = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            enter[:, word[edge]] = np.add.reduceat(flat[:, place], edge, axis=1)
+        others = np.concatenate([np.arange(SINGLES), np.arange(OWN, SYMBOLS)])
+        which = np.where(read < SINGLES, read, read - (OWN - SINGLES))
+        which[inside] = 0
+        hit = np.zeros((len(read), len(others)), inputs.dtype)
+        hit[np.arange(len(read)), which] = ~inside
+        enter[:, others] = hit.T @ flat
+        g |= {"enter": enter, "bias": flat.sum(axis=1), "turn": hs[:-1].reshape(-1, n).T @ da.reshape(3, -1, n)}
         h = hs[-1]
         self.t += 1
         size = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
@@ -370,34 +400,63 @@ class Network:
         steps = int(count[0]) if len(count) else 0
         active = np.searchsorted(-count, -np.arange(steps), "left")
         leave, base, inner, inner_base = (self.p[k] for k in ("leave", "base", "inner", "inner_base"))
+        bound, inner_bound, enter = _bound(leave, base), _bound(inner, inner_base), self.p["enter"] + self.p["bias"][:, None]
         for a in range(0, steps, WINDOW):
             states, wanted, rows = [], [], []
             for t in range(a, min(a + WINDOW, steps)):
                 n = active[t]
-                h = self.step(h[:n], before[:n])
+                h = self.step(h[:n], before[:n], enter)
                 now = words[start[:n] + t]
                 states.append(h)
                 wanted.append(now)
                 rows.append(np.arange(n))
                 before = now
             states, want = np.concatenate(states), np.concatenate(wanted)
-            logits = states @ leave
-            logits += base
-            got = logits[np.arange(len(want)), _CLASS[want]] - _logsumexp(logits)
-            for k, place, member in self.grouped(want):
-                z = states[place] @ inner[k]
-                z += inner_base[k]
-                got[place] += z[np.arange(len(place)), member] - _logsumexp(z)
+            got = np.empty(len(want), np.float32)
+            for b in range(0, len(want), 4096):
+                own, cls = states[b : b + 4096], _CLASS[want[b : b + 4096]]
+                logits = own @ leave
+                logits += base
+                got[b : b + 4096] = logits[np.arange(len(cls)), cls] - _logsumexp(logits, bound)
+            place, at, member, x = self.grouped(want, states)
+            if len(place):
+                z = x @ inner
+                z += inner_base[:, None]
+                z = z.reshape(-1, MEMBERS)
+                got[place] += z[at, member] - _logsumexp(z, inner_bound)[at]
             total += np.bincount(np.concatenate(rows), weights=got, minlength=len(total))
         out = np.zeros(len(total))
         out[order] = total / np.log(10)
         return out
 
 
-def _logsumexp(x: np.ndarray) -> np.ndarray:
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _bound(weights: np.ndarray, base: np.ndarray) -> float:
+    """What no logit of a state, whose numbers lie between -1 and 1, exceeds."""
+    return float((np.abs(weights).sum(axis=-2) + base).max())
+
+
+def _exp(x: np.ndarray, bound: float) -> np.ndarray:
+    """exp of logits in place, over the greatest of each row where ``bound`` lets them be large; returns the rows' sums."""
+    if bound > 40:
+        x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    return x.sum(axis=1, keepdims=True)
+
+
+def _logsumexp(x: np.ndarray, bound: float = np.inf) -> np.ndarray:
+    """Of each row; x is overwritten."""
+    if bound <= 40:
+        return np.log(_exp(x, bound)[:, 0])
     top = x.max(axis=1)
-    x = x - top[:, None]
-    return top + np.log(np.exp(x, out=x).sum(axis=1))
+    return top + np.log(_exp(x, bound)[:, 0])
 
 
 class Vocabulary:
@@ -406,6 +465,7 @@ class Vocabulary:
     def __init__(self, h: np.ndarray, w: list[bytes], n: np.ndarray, total: int, types: int):
         order = np.argsort(h)
         self.h, self.n = h[order], n[order]
+        self.begin = np.minimum(np.searchsorted(self.h, np.arange(1 << 20, dtype=np.uint64) << np.uint64(44)), max(0, len(h) - 1)).astype(np.int32)
         words = [w[i] or b" " for i in order]
         size = np.array([len(x) for x in words], np.int64)
         data = np.frombuffer(b"".join(words), np.uint8)
@@ -432,11 +492,18 @@ class Vocabulary:
         self.spelled = np.bincount(np.concatenate(places), minlength=Letters.SIZE)  # for the letter model, until the rare words are added
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(place in the vocabulary, whether it is that word)`` of each hash, by its upper bits and a few steps on."""
         if not len(self.h):
             return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        at = np.searchsorted(self.h, hashes)
-        at[at == len(self.h)] = 0
-        return at, self.h[at] == hashes
+        at = self.begin[hashes >> np.uint64(44)]
+        found = self.h[at]
+        behind = np.flatnonzero(found < hashes)
+        while len(behind):
+            behind = behind[at[behind] + 1 < len(self.h)]
+            at[behind] += 1
+            found[behind] = self.h[at[behind]]
+            behind = behind[found[behind] < hashes[behind]]
+        return at, found == hashes
 
     def read(self, column: pa.Array, spell: bool = False):
         """``(symbols with ends, rows' offsets, hot places and rows, (rare hashes, clusters, spelling, rows))`` of texts."""
