@@ -1,5 +1,8 @@
 """Roles recovered, and blocks against one piece."""
 
+import itertools
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidegraph.llm import transcripts as T
@@ -13,13 +16,45 @@ def test_markers():
     assert T.marker("A longer line: of text")[0] == -1 and T.marker("")[0] == -1
 
 
+def _text(rng):
+    """A transcript of random lines: markers, questions, blanks, plain words."""
+    kinds = ["User: ", "Assistant: ", "### System:", "", "", "", "Context: ", "Q: "]
+    lines = []
+    for i in range(int(rng.integers(1, 13))):
+        lines.append("" if rng.random() < 0.3 else kinds[int(rng.integers(0, 8))] + f"w{i}" + "?" * int(rng.integers(0, 2)))
+    return lines
+
+
 def test_blocks_decode_like_one_piece(spark):
-    rows = [("c", i, ("User: q%d" if i % 2 == 0 else "Assistant: a%d") % i if i % 5 else "\nplain %d?" % i) for i in range(40)]
+    """Random transcripts cut into rows anywhere; blocks of every size give what one block gives."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for c in range(300):
+        lines = _text(rng)
+        cuts = sorted(set(rng.integers(1, len(lines), int(rng.integers(0, 5))).tolist())) if len(lines) > 1 else []
+        for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(lines)])):
+            rows.append((f"c{c}", k, "\n".join(lines[a:b])))
+    rows += [("hot", i, ("User: q%d" if i % 2 == 0 else "Assistant: a%d") % i if i % 5 else "\nplain %d?" % i) for i in range(40)]
+    rows += [("hot2", 0, f"line {i:03d}" if i else "System: many rows of one turn") for i in range(90)]
     raw = spark.createDataFrame(rows, "conv string, turn long, raw string")
-    whole = T.recover(raw, 1000).select("turn", "role", "text").orderBy("turn").collect()
-    for size in (1, 3, 8):
-        assert T.recover(raw, size).select("turn", "role", "text").orderBy("turn").collect() == whole
-    assert len(whole) == 40
+    take = lambda **k: sorted(tuple(r) for r in T.recover(raw, **k).collect())
+    whole = take(size=1000)
+    assert len(whole) > 300
+    for sizes in ({"size": 1}, {"size": 2}, {"size": 7}, {"size": 1000, "most": 20}):
+        assert take(**sizes) == whole
+    assert max(T.blocks_of(raw, 7).selectExpr("size(items) AS n").collect()).n == 7
+
+
+def test_decoding_is_the_best_path():
+    """Against all paths of short transcripts."""
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        seen = T._observe([x for x in _text(rng) if x][:5], True)[0]
+        if not len(seen):
+            continue
+        score = lambda p: T.START[p[0]] + seen[0, p[0]] + sum(T.TRANSITIONS[a, b] + seen[i + 1, b] for i, (a, b) in enumerate(zip(p, p[1:])))
+        best = max(score(p) for p in itertools.product(range(T._N), repeat=len(seen)))
+        assert score(T.decode(seen, None, np.zeros(T._N, np.int64)).tolist()) == best
 
 
 def test_roles_of_the_table(spark):
