@@ -1,5 +1,7 @@
 """Items found against full dynamic programming."""
 
+import tracemalloc
+
 import numpy as np
 
 from tidegraph.llm import decontaminate as D
@@ -26,7 +28,7 @@ def test_planted_edits(spark):
     rng = np.random.default_rng(2)
     letters = list("abcdefghij   klmnñüé.")
     text = lambda n: "".join(rng.choice(letters, n)).strip() or "x"
-    items = [(i, text(int(rng.integers(60, 160)))) for i in range(8)] + [(8, "short"), (9, None), (10, "")]
+    items = [(i, text(int(rng.integers(60, 160)))) for i in range(8)] + [(8, "short"), (9, None), (10, ""), (11, " Sho  rt ")]
     docs = []
     for d in range(60):
         body = items[d % 8][1]
@@ -34,6 +36,7 @@ def test_planted_edits(spark):
             at = int(rng.integers(0, len(body)))
             body = (body[:at] + "Q" + body[at + 1 :], body[:at] + body[at + 1 :], body[:at] + "zz" + body[at:])[d % 3]
         docs.append((d, text(50) + "\n\t " + (body.upper() if d % 4 == 0 else body.replace(" ", " \n")) + " " + text(40)))
+    docs += [(103, "a short line\n sho\t RT\nend"), (104, "SHORT"), (105, "not sho rt")]
     docs += [(100, None), (101, ""), (102, items[0][1]), (102, items[0][1])]
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in docs], DOCS)
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], ITEMS)
@@ -42,6 +45,9 @@ def test_planted_edits(spark):
     want = []
     for d, t in docs:
         for i, k in zip(known.ids, known.k.tolist()):
+            if len(norm(dict(items)[i])) < D.Q:  # whole lines
+                want += [(d, i, 0)] if norm(dict(items)[i]) in [norm(x) for x in (t or "").split("\n")] else []
+                continue
             e = best(norm(dict(items)[i]), norm(t))
             if e <= k:
                 want.append((d, i, e))
@@ -69,6 +75,8 @@ def test_short_items_are_searched_exactly():
     text = "Z. CAPITAL  City; who wrote hamlet? who wrote hamlex, what is 17 times three"
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     assert [(items.ids[i], e) for _, i, e, _, _ in D.search(items, points, np.array([0, len(points)]))] == [(0, 0), (1, 0), (2, 0)]
+    line = np.frombuffer("one\n  Too\t SHORT \nthree too short".encode("utf-32-le"), np.uint32)
+    assert D.search(items, line, np.array([0, len(line)])) == [(0, 3, 0, 6, 16)]
     miss = np.frombuffer(b"w\0\0\0", np.uint32)
     assert D.search(items, miss, np.array([0, 1])) == []
 
@@ -89,3 +97,29 @@ def test_blocks_of_items(spark, monkeypatch):
     df = spark.createDataFrame([(i, "see " + t, "x", 1) for i, t in items], DOCS)
     got = sorted((r.doc_id, r.item_id) for r in D.leaks(df, spark.createDataFrame([(i, t, 1) for i, t in items], ITEMS)).where("edits = 0").collect())
     assert got == [(i, i) for i in range(5)]
+
+
+def test_banded_alignment_is_edit_distance():
+    rng = np.random.default_rng(11)
+    for _ in range(400):
+        m, k = int(rng.integers(1, 14)), int(rng.integers(0, 5))
+        item, region = rng.integers(0, 3, m).astype(np.uint32), rng.integers(0, 3, int(rng.integers(0, 25))).astype(np.uint32)
+        got, e = D.distance(item, region, k), best(item.tolist(), region.tolist())
+        assert (got is None) == (e > k)
+        if got:
+            assert got[0] == e and best(item.tolist(), region[got[1] : got[2]].tolist()) <= e and 0 <= got[1] <= got[2] <= len(region)
+
+
+def test_one_repeated_letter_stays_small(monkeypatch):
+    """A long text of one letter, an item of that letter: bounded memory, in chunks too."""
+    items = D.Items([(1, "a" * 3000), (2, "ab" * 700)])
+    for text in ("a" * 200_000 + "b" * 500 + "ab" * 5000, "x" * 1000 + "a" * 3100):
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        tracemalloc.start()
+        found = D.search(items, points, np.array([0, len(points)]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert [(i, e) for _, i, e, _, _ in found] == ([(0, 0), (1, 0)] if text[0] == "a" else [(0, 0)])
+        assert peak < 400 << 20
+    monkeypatch.setattr(D, "CHUNK", 1000)
+    assert [(i, e, s, t) for _, i, e, s, t in D.search(items, points, np.array([0, len(points)]))] == [(0, 0, 1000, 4000)]

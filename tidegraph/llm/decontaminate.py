@@ -9,16 +9,21 @@ item) that lie within k of each other.  So:
 1.  Every text position is looked up in a table of the items' q-grams; places with
     too few of them for any item, as far around as the longest item reaches, are passed over.
 2.  The remaining hits are counted in diagonal bands of width 2k that overlap by k, so
-    every run of k diagonals lies in one band whole.  Bands under the bound go.
+    every run of k diagonals lies in one band whole.  Bands under the bound go.  A text position counts once a band
+    for all near places of its q-gram in an item, so one repeated letter makes few entries, and hits
+    are counted in chunks of at most ``CHUNK`` entries.
 3.  What is left is verified by banded alignment: edit distance of the item to the
-    best stretch of the band's region.
+    best stretch of the band's region, over the diagonals of that band and k around it.
 
 The items are a stated query set, searched in blocks of at most ``BLOCK_CHARS`` code
 points (one pass over the texts per block), so what is sent to executors is bounded.
 
-Defined results: null and empty texts or items match nothing; items under ``MIN_ITEM``
-code points are not searched (too short to tell a leak); each repeated row is searched; an
-empty table gives an empty result; only ``doc_id`` and ``text`` are read.
+Items of under ``Q`` code points have no q-gram: they are found where they are a whole line of a text
+(white space and case aside).
+
+Defined results: null and empty texts or items match nothing; each repeated row is searched; of several places of an item in one row the one of fewest
+edits counts, then the first; an empty table gives an empty result; only ``doc_id`` and ``text`` are read, whatever other columns are called; a very long text is
+searched whole by one task, at some 60 bytes a code point.
 """
 
 from __future__ import annotations
@@ -36,9 +41,8 @@ from tidegraph.llm import _text
 
 Q = 12
 RATE = 0.06
-#: Items of Q to 23 code points have a budget of no edits: they are searched exactly.
-MIN_ITEM = Q
 BLOCK_CHARS = 2_000_000
+CHUNK = 1 << 21
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
 _lower: np.ndarray | None = None
@@ -86,18 +90,25 @@ def grams(points: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """A block of items with their q-gram postings and bounds."""
+    """A block of items with their q-gram postings and bounds.
+
+    The budget of edits is a share of RATE, as far as the bound asks for two q-grams at least: items of
+    Q to 23 code points have a budget of none.
+    """
 
     def __init__(self, rows: list[tuple[int, str]]):
-        self.ids, self.points, postings = [], [], []
+        self.ids, self.points, texts = [], [], []
+        #: Normalized items without q-grams.
+        self.short: dict[str, list[int]] = {}
         for item, text in rows:
             raw = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
-            p, _, _ = normalize(raw, np.array([0, len(raw)]))
-            p = p[(1 if len(p) and p[0] == 32 else 0) : (len(p) - 1 if len(p) > 1 and p[-1] == 32 else len(p))]
-            if len(p) < MIN_ITEM:
+            p = trimmed(normalize(raw, np.array([0, len(raw)]))[0])
+            if not len(p):
                 continue
-            g = grams(p)
-            postings.append((g, np.full(len(g), len(self.ids), np.int64), np.arange(len(g), dtype=np.int64)))
+            if len(p) < Q:
+                self.short.setdefault(p.tobytes().decode("utf-32-le", "surrogatepass"), []).append(len(self.ids))
+            else:
+                texts.append(len(self.ids))
             self.ids.append(item)
             self.points.append(p)
         m = np.array([len(p) for p in self.points], np.int64)
@@ -105,45 +116,100 @@ class Items:
         # The bound must ask for two grams at least; short items get a smaller budget.
         self.k = np.minimum(k, np.maximum(0, (m - Q - 1) // Q))
         self.m, self.least = m, m - Q + 1 - self.k * Q
-        if not self.ids:
+        if not texts:
+            self.hash = np.zeros(0, np.uint64)
             return
-        h, item, place = (np.concatenate(x) for x in zip(*postings, strict=True))
-        order = np.argsort(h, kind="stable")
-        h, self.item, self.place = h[order], item[order], place[order]
+        h = [grams(self.points[i]) for i in texts]
+        item = np.repeat(texts, [len(x) for x in h])
+        place = np.concatenate([np.arange(len(x), dtype=np.int64) for x in h])
+        h = np.concatenate(h)
+        order = np.lexsort((place, item, h))
+        h, item, place = h[order], item[order], place[order]
+        # Places of a q-gram in an item at most a band's step apart are one run.
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (item[1:] != item[:-1]) | (place[1:] - place[:-1] > self.k[item[1:]] + 1)
+        start = np.flatnonzero(new)
+        h, self.item, self.low = h[start], item[start], place[start]
+        self.high = place[np.append(start[1:], len(place)) - 1]
         self.hash, self.first = np.unique(h, return_index=True)
         self.last = np.append(self.first[1:], len(h))
         self.table = np.zeros(1 << _BITS, bool)
         self.table[(self.hash >> np.uint64(64 - _BITS)).astype(np.int64)] = True
         # A stretch of `span` positions must hold `dense` hits somewhere in any occurrence.
-        self.span, self.reach = int((m + self.k).min()), int((m + self.k).max())
-        self.dense = int((self.least // -(-(m + self.k) // self.span)).min())
+        m, k, least = m[texts], self.k[texts], self.least[texts]
+        self.span, self.reach = int((m + k).min()), int((m + k).max())
+        self.dense = int((least // -(-(m + k) // self.span)).min())
+
+
+def trimmed(points: np.ndarray) -> np.ndarray:
+    """Normalized points without a space at either end."""
+    a = 1 if len(points) and points[0] == 32 else 0
+    return points[a : len(points) - 1 if len(points) > a and points[-1] == 32 else len(points)]
 
 
 def distance(item: np.ndarray, region: np.ndarray, k: int) -> tuple[int, int, int] | None:
     """Edit distance (at most k) of ``item`` to its best stretch of ``region``, with the stretch.
 
-    Row by row over the item; a row holds the cells of all of the region, which is a
-    band of a few k around the item's length.  The first of the best ends is taken.
+    Row by row over the item; a row holds the diagonals (place in region - place in item) from -k to
+    len(region) - len(item) + k, beyond which no path of k edits goes.  The first of the best ends is taken.
     """
-    n = len(region)
-    steps = np.arange(n + 1, dtype=np.int32)
-    row, begin = np.zeros(n + 1, np.int32), steps.copy()
-    for i, c in enumerate(item):
-        take = np.empty(n + 1, np.int32)
-        origin = np.empty(n + 1, np.int32)
-        take[0], origin[0] = i + 1, 0
-        sub, gap = row[:-1] + (region != c), row[1:] + 1
-        less = sub <= gap
-        take[1:] = np.where(less, sub, gap)
-        origin[1:] = np.where(less, begin[:-1], begin[1:])
+    m, n, far = len(item), len(region), 1 << 20
+    width = n - m + 2 * k + 1
+    if width <= 0:
+        return None
+    steps = np.arange(width, dtype=np.int32)
+    wall = np.full(k + 1, 0xFFFFFFFF, np.uint32)
+    padded = np.concatenate([wall, region, np.full(width, 0xFFFFFFFF, np.uint32)])
+    row = np.where((steps >= k) & (steps - k <= n), 0, far).astype(np.int32)
+    begin = np.maximum(steps - k, 0)
+    take, origin = np.empty(width, np.int32), np.empty(width, np.int32)
+    for i, c in enumerate(item, 1):
+        sub = row + (padded[i : i + width] != c)
+        take[:-1], take[-1] = row[1:] + 1, far
+        origin[:-1], origin[-1] = begin[1:], 0
+        less = sub <= take
+        np.copyto(take, sub, where=less)
+        np.copyto(origin, begin, where=less)
+        take[max(0, n - i + k + 1) :] = far  # beyond the region
         lifted = take - steps
         low = np.minimum.accumulate(lifted)
         source = np.maximum.accumulate(np.where(lifted == low, steps, 0))
         row, begin = low + steps, origin[source]
+        row[max(0, n - i + k + 1) :] = far
         if row.min() > k:
             return None
-    end = int(row.argmin())
-    return (int(row[end]), int(begin[end]), end) if row[end] <= k else None
+    at = int(row.argmin())
+    return (int(row[at]), int(begin[at]), m + at - k) if row[at] <= k else None
+
+
+def _whole_lines(items: Items, points: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """Short items that are a whole line of a row, at the first such line."""
+    out: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for r, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+        cut = np.flatnonzero(points[a:b] == 10)
+        for s, t in zip([0, *(cut + 1).tolist()], [*cut.tolist(), b - a], strict=True):
+            line = points[a + s : a + t]
+            if len(line):
+                norm, _, back = normalize(line, np.array([0, len(line)]))
+                p = trimmed(norm)
+                for i in items.short.get(p.tobytes().decode("utf-32-le", "surrogatepass"), ()) if 0 < len(p) < Q else ():
+                    lead = int(norm[0] == 32)
+                    out.setdefault((r, i), (0, s + int(back[lead]), s + int(back[lead + len(p) - 1]) + 1))
+    return [(r, i, *v) for (r, i), v in sorted(out.items())]
+
+
+def _bands(items: Items, row: np.ndarray, local: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(row and item, band, as one number; text positions in it)`` of hits ``found`` at places ``local`` of rows."""
+    count = items.last[found] - items.first[found]
+    run = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(items.first[found], count)
+    item = items.item[run]
+    width = items.k[item] + 1
+    place = np.repeat(local, count)
+    low, high = (place - items.high[run]) // width - 1, (place - items.low[run]) // width
+    size = high - low + 1
+    key = ((np.repeat(row, count) * len(items.ids) + item) << 32) + (low + (1 << 30))
+    keys = np.repeat(key, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    return np.unique(keys, return_counts=True)
 
 
 def search(items: Items, points: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
@@ -151,9 +217,14 @@ def search(items: Items, points: np.ndarray, at: np.ndarray) -> list[tuple[int,
 
     An item found several times in one row counts once, at its best and then first place.
     """
+    lines = _whole_lines(items, points, at) if items.short else []
+    return sorted(lines + _search(items, points, at))
+
+
+def _search(items: Items, points: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     norm, to, back = normalize(points, at)
     h = grams(norm)
-    if not len(h) or not items.ids:
+    if not len(h) or not len(items.hash):
         return []
     hit = items.table[(h >> np.uint64(64 - _BITS)).astype(np.int64)]
     total = np.concatenate([[0], np.cumsum(hit, dtype=np.int32)])
@@ -173,18 +244,15 @@ def search(items: Items, points: np.ndarray, at: np.ndarray) -> list[tuple[int,
     if not len(where):
         return []
     out: dict[tuple[int, int], tuple[int, int, int]] = {}
-    count = items.last[found] - items.first[found]
-    posting = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(items.first[found], count)
-    item = items.item[posting]
-    local = np.repeat(where - to[row], count) - items.place[posting]
-    width = items.k[item] + 1
-    band = local // width
-    key = (np.repeat(row, count) * len(items.ids) + item) << 32
-    keys = np.concatenate([key + (band + (1 << 30)), key + (band - 1 + (1 << 30))])
-    keys.sort()
-    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    sizes = np.diff(np.append(edge, len(keys)))
-    heads = keys[edge]
+    # Entries of each hit: two bands a run of places, and one more for each step that a run is long.
+    weight = np.add.reduceat(2 + (items.high - items.low) // (items.k[items.item] + 1), items.first)[found]
+    local, chunk = where - to[row], np.cumsum(weight) // CHUNK
+    edge = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
+    heads, sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(chunk)], strict=True):
+        more = _bands(items, row[a:b], local[a:b], found[a:b])
+        heads, inverse = np.unique(np.concatenate([heads, more[0]]), return_inverse=True)
+        sizes = np.bincount(inverse, weights=np.concatenate([sizes, more[1]])).astype(np.int64)
     enough = sizes >= items.least[(heads >> 32) % len(items.ids)]
     for head in heads[enough].tolist():
         r, i = divmod(head >> 32, len(items.ids))
