@@ -100,3 +100,14 @@ def test_documents_table(spark):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.op2_minhash_dedup(spark, "/root/testdata/sf0.001").collect()} == brute(rows)
     assert docs.agg(F.count("doc_id")).first()[0] == len(rows)
+
+
+def test_document_with_rows_of_several_texts(spark):
+    """A repeated doc_id has the links of all its rows, whatever other columns are called."""
+    rng = np.random.default_rng(8)
+    a, b = ([f"{k}{i}" for i in rng.integers(0, 300, 120)] for k in "ab")
+    near = lambda t: [*t[:-2], "other", "end"]
+    rows = [(3, a), (3, b), (5, near(a)), (7, near(b)), (8, ["alone", "here", "with", "six", "words", "only"]), (9, a), (3, a), (10, rng.integers(0, 10**6, 150_000).astype(str).tolist())]
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in rows], "doc_id long, text string").selectExpr("*", *[f"1 AS {c}" for c in ("x", "d1", "d2", "u", "v", "rep", "grams", "size", "component", "node", "label")])
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect())
+    assert got == sorted((d, 3 if d in (3, 5, 7, 9) else d, d in (3, 8, 10)) for d, _ in rows)

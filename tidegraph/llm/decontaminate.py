@@ -315,7 +315,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document holds no benchmark item."""
     # Written first, so that the join knows its size: it is broadcast only when small.
     found = scratch.materialize(leaks(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")
-    return docs.join(found, docs["doc_id"] == found["_leaked"], "left_anti")
+    return docs.alias("d").join(found.alias("f"), F.col("d.doc_id") == F.col("f._leaked"), "left_anti").select("d.*")
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -116,7 +116,10 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CH
     """
     gone = dropped_lines(docs, batches, min_chars)
     keys = _rows(docs).columns[:2]
-    own = docs.withColumn(keys[0], F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn(keys[1], F.xxhash64(F.coalesce("text", F.lit(""))))
+    rest = [c for c in docs.columns if c != "text"]  # whatever they are called, they go through as they are
+    own = docs.select(
+        "text", F.struct(*rest).alias("_rest"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias(keys[0]), F.xxhash64(F.coalesce("text", F.lit(""))).alias(keys[1])
+    )
     lines = _lines_of(F.col("text"))
     n = F.size(lines)
     lost = F.coalesce(F.size("_gone"), F.lit(0))
@@ -125,9 +128,9 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CH
         F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n")
     )
     joined = own.join(gone, keys, "left").withColumn("_lines", F.when(F.col("_gone").isNotNull(), lines))
-    if counts:
-        joined = joined.withColumn("n_lines", n.cast("long")).withColumn("n_dropped", lost.cast("long"))
-    return joined.withColumn("text", text).drop(*keys, "_gone", "_lines")
+    added = [n.cast("long").alias("n_lines"), lost.cast("long").alias("n_dropped")] if counts else []
+    names = ("n_lines", "n_dropped") if counts else ()
+    return joined.select(*[text.alias(c) if c == "text" else F.col("_rest")[c].alias(c) for c in docs.columns if c not in names], *added)
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ four and, folded by parity, an odd sketch of 512 bits: the XOR of two sketches
 has about ``256 * (1 - exp(-(1 - J)))`` bits set, which tells similarities near the
 threshold apart far better than it tells low ones.
 
-1.  Rows of equal set become one class (a combined ``min`` per set digest), so a group
+1.  Rows of equal set become one class (a combined ``min`` per set digest) with a number of its own, so a group
     of thousands of copies is one vertex from here on.
 2.  Bands: every class that shares a band value with others is compared with one class
     of that bucket, the hub (the one with most company) - one candidate a row, never all
@@ -18,7 +18,7 @@ threshold apart far better than it tells low ones.
     hub took them out.  The condition of that join is lossless (:func:`_may_link`, parity
     bitmaps of the whole sets), so that next to nothing but links comes out of it: no link
     that could join two components is lost.
-4.  Connected components of the confirmed links, then back to all rows.
+4.  Connected components of the confirmed links and of the classes that rows of one ``doc_id`` are in, then back to all rows.
 
 A pair of similarity 0.75 shares no band with probability (1 - 0.75**4)**32 < 6e-6.
 
@@ -26,7 +26,7 @@ Defined results: null, empty or blank texts have no shingles and stand alone; wi
 to four words the whole sequence is the only shingle; rows of one ``doc_id`` (repeated
 rows) are one document with the union of the rows' links; a null ``doc_id`` links with nothing and
 is kept; an empty table gives an empty table; columns beside ``doc_id`` and ``text``
-are not read.
+are not read, whatever they are called; a very long text is one set, held by one task.
 """
 
 from __future__ import annotations
@@ -101,7 +101,14 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarr
 _SKETCH = [f"s{i}" for i in range(WORDS64)]
 _WIDE = [f"w{i}" for i in range(WIDE_BITS // 64)]
 _SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, " + ", ".join(f"{c} long" for c in _SKETCH)
-_SETS = "x long, size long, grams array<long>, " + ", ".join(f"{c} long" for c in _WIDE)
+_SETS = "x long, d1 long, d2 long, size long, grams array<long>, " + ", ".join(f"{c} long" for c in _WIDE)
+
+
+def _digests(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    with np.errstate(over="ignore"):
+        d1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
+        d2 = np.array([_text.mix(s + np.uint64(11)).sum(dtype=np.uint64) for s in sets], np.uint64)
+    return pa.array(_text.signed(d1)), pa.array(_text.signed(d2))
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,16 +119,12 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig = np.stack([signature(sets[i]) for i in full]) if len(full) else np.zeros((0, K), np.uint32)
             sketch = np.zeros((len(n), WORDS64), np.uint64)
             sketch[full] = odd_sketches(sig)
-            with np.errstate(over="ignore"):
-                d1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
-                d2 = np.array([_text.mix(s + np.uint64(11)).sum(dtype=np.uint64) for s in sets], np.uint64)
             at = np.concatenate([[0], np.cumsum((n > 0) * BANDS)])
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(part.schema.get_field_index("doc_id")).cast(pa.int64()),
                     pa.array(n),
-                    pa.array(_text.signed(d1)),
-                    pa.array(_text.signed(d2)),
+                    *_digests(sets),
                     _text.list_array(_text.signed(band_keys(sig).ravel()), at),
                     *[pa.array(_text.signed(np.ascontiguousarray(sketch[:, i]))) for i in range(WORDS64)],
                 ],
@@ -140,8 +143,8 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             odd = (np.bincount(bit, minlength=len(sets) * WIDE_BITS) & 1).astype(np.uint8).reshape(len(sets), WIDE_BITS)
             wide = np.packbits(odd, axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [part.column(part.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(size), _text.list_array(_text.signed(flat), at), *[pa.array(np.ascontiguousarray(wide[:, i])) for i in range(len(_WIDE))]],
-                ["x", "size", "grams", *_WIDE],
+                [part.column(part.schema.get_field_index("x")), *_digests(sets), pa.array(size), _text.list_array(_text.signed(flat), at), *[pa.array(np.ascontiguousarray(wide[:, i])) for i in range(len(_WIDE))]],
+                ["x", "d1", "d2", "size", "grams", *_WIDE],
             )
 
 
@@ -199,24 +202,29 @@ def _hubs(rows: DataFrame) -> DataFrame:
     return scratch.materialize(rows.groupBy("band").agg(F.min(F.struct(-F.col("company"), "x")).alias("m")).select("band", F.col("m.x").alias("hub")), "hubs")
 
 
-def near_duplicate_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(signed, links)``: signed has ``doc_id``, ``n_shingles`` and the set digest of every row,
-    links has confirmed ``(u, v)`` between classes, enough for all components."""
+def near_duplicate_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(signed, reps, links)``: signed has ``doc_id``, ``n_shingles`` and the set digest of every row, reps the
+    classes ``(d1, d2, n_shingles, rep, x)`` with their smallest document and number, links has confirmed ``(u, v)`` between classes,
+    enough for all components."""
     scratch.ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     signed = scratch.materialize(rows.mapInArrow(_sign, _SIGNED), "signed")
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = scratch.materialize(some.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), "reps")
-    own = signed.alias("s").join(reps.alias("r").hint("merge"), (F.col("s.doc_id") == F.col("r.rep")) & (F.col("s.d1") == F.col("r.d1")) & (F.col("s.d2") == F.col("r.d2")), "left_semi")
-    own = scratch.materialize(own.select(F.col("doc_id").alias("x"), "bands", *_SKETCH).dropDuplicates(["x"]), "own")
+    reps = some.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")).withColumn("x", F.monotonically_increasing_id())
+    reps = scratch.materialize(reps, "reps")
+    own = signed.alias("s").join(reps.alias("r").hint("merge"), (F.col("s.doc_id") == F.col("r.rep")) & (F.col("s.d1") == F.col("r.d1")) & (F.col("s.d2") == F.col("r.d2")))
+    own = scratch.materialize(own.select("r.x", "bands", *_SKETCH).dropDuplicates(["x"]), "own")
     banded = own.select("x", F.explode("bands").alias("band"))
     shared = scratch.materialize(banded.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
     bucket = scratch.materialize(banded.join(shared.hint("merge"), "band"), "bucket")
     company = scratch.materialize(bucket.groupBy("x").agg(F.sum("c").alias("company")), "company")
     bucket = scratch.materialize(bucket.select("band", "x").join(company.hint("merge"), "x"), "bucket")
     # Only here are texts dealt out by id, once: the sets of all classes that share a bucket.
-    sets = rows.join(company.select(F.col("x").alias("doc_id")).hint("merge"), "doc_id", "left_semi").mapInArrow(_shingle_rows, _SETS)
-    sets = scratch.materialize(sets, "sets")
+    wanted = reps.join(company.select("x").hint("merge"), "x", "left_semi").select("x", F.col("rep").alias("doc_id"), "d1", "d2")
+    wanted = scratch.materialize(wanted, "wanted")
+    sets = rows.join(wanted.select("x", "doc_id").hint("merge"), "doc_id").select("x", "text").mapInArrow(_shingle_rows, _SETS)
+    # A document may have rows of other texts: only its set of the right digest counts.
+    sets = scratch.materialize(sets.join(wanted.drop("doc_id").hint("merge"), ["x", "d1", "d2"], "left_semi").drop("d1", "d2") if _several(signed) else sets.drop("d1", "d2"), "sets")
     sketch = own.drop("bands").join(company.select("x").hint("merge"), "x", "left_semi")
     sketch = scratch.materialize(sketch, "sketch")
     rest, links, some_left = bucket, None, None
@@ -236,7 +244,7 @@ def near_duplicate_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             # Where hub 1 confirms all, the bucket is one component.  Later hubs only add links:
             # what they confirm has not met what hub 1 confirmed, so it stays for the final join.
             if rest.isEmpty():
-                return signed, links
+                return signed, reps, links
             some_left = scratch.materialize(rest.select("band").distinct(), "some_left")
         if rest.isEmpty() or _meetings(rest, bucket) <= FEW_MEETINGS:
             break
@@ -251,30 +259,46 @@ def near_duplicate_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     a, b = whole.where("component <> largest").alias("a"), whole.alias("b")
     meet = a.join(b.hint("merge"), (F.col("a.band") == F.col("b.band")) & (F.col("a.component") != F.col("b.component")) & _may_link("a", "b"))
     pairs = meet.select(F.least("a.x", "b.x").alias("u"), F.greatest("a.x", "b.x").alias("v")).distinct()
-    return signed, links.unionByName(_confirmed(scratch.materialize(pairs, "pairs"), sets))
+    return signed, reps, links.unionByName(_confirmed(scratch.materialize(pairs, "pairs"), sets))
+
+
+def _mixed(signed: DataFrame) -> DataFrame:
+    """``(doc_id, d1, d2, n_shingles)``: for documents with rows of several sets, the least of these."""
+    key = F.struct("d1", "d2", "n_shingles")
+    each = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(key).alias("a"), F.max(key).alias("b"))
+    return each.where("a <> b").select("doc_id", "a.d1", "a.d2", "a.n_shingles")
+
+
+def _several(signed: DataFrame) -> bool:
+    return not _mixed(signed).isEmpty()
+
+
+def _bridges(signed: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links between the classes that rows of one ``doc_id`` are in."""
+    key = ["d1", "d2", "n_shingles"]
+    mixed = scratch.materialize(_mixed(signed), "mixed")
+    first = mixed.join(reps.hint("merge"), key).select("doc_id", F.col("x").alias("u"))
+    rest = signed.select("doc_id", *key).join(mixed.select("doc_id").hint("merge"), "doc_id", "left_semi").distinct().join(reps.hint("merge"), key).select("doc_id", F.col("x").alias("v"))
+    return first.join(rest, "doc_id").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, one row per row of ``docs``."""
-    signed, links = near_duplicate_links(docs)
-    copies = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "d1", "d2", "n_shingles")
-    reps = scratch.materialize(copies.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), "reps")
-    stars = copies.join(reps.hint("merge"), ["d1", "d2", "n_shingles"]).where("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
-    # A star of copies needs no rounds: label the representatives, then look the copies up.
-    parts = connected_components(links.unionByName(_bridges(copies, stars)), "u", "v")
-    parts = scratch.materialize(parts, "parts")
-    of_rep = stars.join(parts, stars["u"] == parts["node"], "left").select(F.col("v").alias("doc_id"), F.coalesce("component", "u").alias("c"))
-    of_own = parts.select(F.col("node").alias("doc_id"), F.col("component").alias("c"))
-    labels = of_rep.unionByName(of_own).groupBy("doc_id").agg(F.min("c").alias("c"))
-    out = signed.select("doc_id", "n_shingles").join(labels, "doc_id", "left").withColumn("component_id", F.coalesce("c", "doc_id"))
+    signed, reps, links = near_duplicate_links(docs)
+    if _several(signed):
+        links = links.unionByName(_bridges(signed, reps))
+    parts = scratch.materialize(connected_components(links, "u", "v"), "parts")
+    classes = reps.join(parts.hint("merge"), F.col("x") == F.col("node"), "left").withColumn("component", F.coalesce("component", "x"))
+    classes = scratch.materialize(classes.select("d1", "d2", "n_shingles", "rep", "component"), "classes")
+    least = classes.groupBy("component").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    labels = classes.join(least.select("component", "least").hint("merge"), "component", "left").select("d1", "d2", "n_shingles", F.coalesce("least", "rep").alias("label"))
+    labels = scratch.materialize(labels, "labels")
+    out = signed.select("doc_id", "n_shingles", "d1", "d2").join(labels.hint("merge"), ["d1", "d2", "n_shingles"], "left")
+    # Without shingles or id a row stands alone.
+    label = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("label")).otherwise(F.col("doc_id"))
+    out = out.select("doc_id", "n_shingles", label.alias("component_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _bridges(copies: DataFrame, stars: DataFrame) -> DataFrame:
-    """Links of a ``doc_id`` that several sets share (rows repeated with other texts)."""
-    several = copies.groupBy("doc_id").agg(F.count_distinct("d1", "d2").alias("n")).where("n > 1").select("doc_id")
-    return stars.join(several, stars["v"] == several["doc_id"], "left_semi")
-
-
 def op2_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -142,7 +142,12 @@ def judged(docs: DataFrame) -> DataFrame:
 
     Needs ``text``, ``lang`` and ``source``; columns named like those added are replaced.
     """
-    return judged_counts(scratch.materialize(with_counts(docs), "counted"))
+    used = ("text", "lang", "source")
+    rest = [c for c in docs.columns if c not in used]  # whatever they are called, they go through as they are
+    own = docs.select(*used, F.struct(*rest).alias("_rest")) if rest else docs.select(*used)
+    out = judged_counts(scratch.materialize(with_counts(own), "counted"))
+    added = [c for c in out.columns if c not in (*used, "_rest")]
+    return out.select(*[F.col(c) if c in used else F.col("_rest")[c].alias(c) for c in docs.columns if c not in added], *added)
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -165,15 +170,15 @@ def _sql() -> str:
     )
     return rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '[ 	-]+'), lambda x: x <> '') AS w FROM d),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
 win AS (SELECT doc_id, i, w[i:i+4] AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 6)),
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM win) WHERE c > 1),
 cov AS (SELECT doc_id, count(DISTINCT i + k) AS r FROM rep, range(0, 5) o(k) GROUP BY doc_id),
 ln AS (SELECT doc_id, count(*) AS n, count(DISTINCT l) AS u FROM
-         (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^ 	-]') GROUP BY doc_id),
+         (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 counted AS (
   SELECT d.doc_id, lang, source, len(w.w)::BIGINT AS n_words,
-         length(regexp_replace(t, '[ 	-]+', '', 'g'))::BIGINT AS word_chars,
+         length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
          (length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')))::BIGINT AS n_symbols,
          coalesce(ln.n, 0)::BIGINT AS n_full_lines, coalesce(ln.n - ln.u, 0)::BIGINT AS n_dup_lines,
          coalesce(cov.r, 0)::BIGINT AS n_repeat_words
