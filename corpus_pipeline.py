@@ -36,7 +36,7 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """One document of each group of near duplicates: that of smallest ``doc_id``."""
     gone = minhash.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     gone = scratch.materialize(gone, "gone")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(docs.columns)
+    return docs.alias("d").join(gone.alias("g"), F.col("d.doc_id") == F.col("g._gone"), "left_anti").select("d.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
