@@ -124,14 +124,14 @@ def _one_task_sizes(key, nodes, edges):
     return pd.concat(out) if out else pd.DataFrame({"chunk_id": [], "size": [], "num_comp": []}).astype("int64")
 
 
-def size_series(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def size_series(nodes: DataFrame, edges: DataFrame, one_task_edges: int | None = None) -> DataFrame:
     """``(chunk_id, size, num_comp)`` of every cumulative snapshot.
 
     A snapshot's components come from the last one's: only new edges, taken between the
-    components they join, are contracted.  A graph counted to be small is done in one task.
+    components they join, are contracted.  A graph counted to have at most ``one_task_edges`` nodes and edges is done in one task.
     """
     scratch.ship_package(nodes.sparkSession)
-    if edges.count() + nodes.count() <= ONE_TASK_EDGES:
+    if edges.count() + nodes.count() <= (ONE_TASK_EDGES if one_task_edges is None else one_task_edges):
         n = nodes.select(F.lit(1).alias("one"), "node_id", F.col("chunk_id").cast("long").alias("chunk_id"))
         e = edges.select(F.lit(1).alias("one"), "src", "dst", F.col("chunk_id").cast("long").alias("chunk_id"))
         return n.groupBy("one").cogroup(e.groupBy("one")).applyInPandas(_one_task_sizes, "chunk_id long, size long, num_comp long").withColumn("chunk_id", F.col("chunk_id").cast("int"))

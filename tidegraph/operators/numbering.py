@@ -1,7 +1,7 @@
 """Running totals and positions over a global order without a one-task window.
 
 Rows are range-partitioned by the order; each range is totalled, the totals of the
-(few hundred) ranges are accumulated, and the running value inside a range starts
+(few hundred or thousand) ranges are accumulated, and the running value inside a range starts
 from what came before it.
 """
 
@@ -12,16 +12,18 @@ from pyspark.sql import functions as F
 
 from tidegraph import scratch
 
+#: Ranges at least; a session with more shuffle partitions gets as many ranges as these.
 RANGES = 64
 
 
 def running(df: DataFrame, order: list[str], value: str, name: str, how: str = "sum") -> DataFrame:
     """``df`` with ``name``: the sum (or max) of ``value`` from the first row through this one."""
     agg = getattr(F, how)
-    split = df.repartitionByRange(RANGES, *order).withColumn("_range", F.spark_partition_id())
+    ranges = max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    split = df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id())
     split = scratch.materialize(split, "ranges")
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per range: RANGES at most, so the side to broadcast is bounded.
+    # One row per range, as many as shuffle partitions, so the side to broadcast is bounded.
     totals = split.groupBy("_range").agg(agg(value).alias("_total")).withColumn("_before", agg("_total").over(before)).drop("_total")
     inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = split.join(F.broadcast(totals), "_range").withColumn("_inside", agg(value).over(inside))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegraph import scratch
 from tidegraph.functions import powerlaw, stats
 from tidegraph.operators import build, components, depth, distance, snapshots
-from tidegraph.operators.calendar import chunk_of, label
-from tidegraph.plans import testgraph
-from tidegraph.sources import transactions
+from tidegraph.operators.calendar import chunk_of, label, monotone_chunks
+from tidegraph.plans import testgraph, views
+from tidegraph.sources import files, sinks, transactions
 
 QUERIES: dict = {}
 
@@ -328,3 +329,86 @@ def distance_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 def distance_hll(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = testgraph.graph(spark, sf_dir)
     return distance.ball_report(distance.hyperball(t["nodes"], t["edges"]))
+
+
+@query
+def depth_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depths and their sources by the distributed path: four blocks, whatever the size."""
+    t = testgraph.graph(spark, sf_dir)
+    return depth.depths(t["nodes"], t["edges"], block_edges=t["edges"].count() // 4 + 1).select("node_id", "d_max", "d_min", "src_max", "src_min")
+
+
+@query
+def wcc_size_dist_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component sizes of all snapshots by distributed contraction, whatever the size."""
+    t = testgraph.graph(spark, sf_dir)
+    return _long(components.size_series(t["nodes"], t["edges"], one_task_edges=0), "size", "num_comp")
+
+
+@query
+def cursor_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks by the cursor of nearly sorted input: every fifth node comes 40 days late, the calendar ends after ten half-years."""
+    nodes = testgraph.graph(spark, sf_dir)["nodes"]
+    late = F.when(F.col("node_id") % 5 == 0, F.col("created_at") - F.expr("INTERVAL 40 DAYS")).otherwise(F.col("created_at"))
+    moment = F.greatest(late.cast("timestamp"), F.lit(f"{testgraph.FIRST_YEAR}-01-01 00:00:00").cast("timestamp"))
+    rows = nodes.select("node_id", chunk_of(moment, testgraph.FIRST_YEAR, 10).alias("chunk_id"))
+    return monotone_chunks(rows, "node_id", "chunk_id").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("nodes"), F.min("node_id").alias("first_node"), F.max("node_id").alias("last_node"))
+
+
+@query
+def snapshot_evolution_even(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second snapshot."""
+    return _long(_evolution(spark, sf_dir).where("chunk_id % 2 = 0"), "nodes", "arcs").select("chunk_id", "nodes", "arcs")
+
+
+@query
+def views_edges_by_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph's views in SQL."""
+    t = testgraph.graph(spark, sf_dir)
+    views.register(t["nodes"], t["edges"], testgraph.calendar(spark))
+    return spark.sql(
+        "SELECT CAST(c.chunk_id AS INT) AS chunk_id, count(e.src) AS arcs, count(DISTINCT e.dst) AS targets FROM pg_calendar c LEFT JOIN pg_edges e ON e.chunk_id = c.chunk_id GROUP BY c.chunk_id"
+    )
+
+
+@query
+def degree_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In-degrees of the last snapshot, written as one count a line and read again."""
+    where = scratch.path(spark, "degrees")
+    sinks.write_degree_counts(_dist(spark, sf_dir, "in").where(F.col("chunk_id") == testgraph.COUNT), where)
+    return files.read_degree_counts(spark, where)
+
+
+@query
+def stats_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last snapshot's numbers as ``key=value`` lines and read again."""
+    where = scratch.path(spark, "stats")
+    sinks.write_stats(_evolution(spark, sf_dir).where(F.col("chunk_id") == testgraph.COUNT).select("chunk_id", "nodes", "arcs"), where)
+    return files.read_stats(spark, where).select("key", F.col("int_value").alias("value"))
+
+
+@query
+def edges_table_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges as separated text, then streamed to Parquet, and read again."""
+    text, parquet = scratch.path(spark, "edges"), scratch.path(spark, "edges")
+    sinks.write_tsv(testgraph.graph(spark, sf_dir)["edges"].select("src", "dst", "chunk_id"), text)
+    files.text_to_parquet(spark, text, parquet, schema="src long, dst long, chunk_id int")
+    return spark.read.parquet(parquet)
+
+
+@query
+def edges_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed graph (sorted Parquet by chunk, zstd 12 for its copy) written and read again."""
+    where, copy = scratch.path(spark, "graph"), scratch.path(spark, "copy")
+    t = testgraph.graph(spark, sf_dir)
+    sinks.write_graph(t["nodes"], t["edges"].select("src", "dst", "chunk_id"), where)
+    sinks.write_parquet_zstd(spark.read.parquet(f"{where}/edges"), copy)
+    return spark.read.parquet(copy).select("src", "dst", F.col("chunk_id").cast("int").alias("chunk_id"))
+
+
+@query
+def components_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the first snapshot, written as one number a line in node order and read again."""
+    where = scratch.path(spark, "components")
+    sinks.write_components(wcc_labels(spark, sf_dir), where)
+    return files.read_degree_counts(spark, where).select(F.col("degree").alias("node_rank"), F.col("freq").alias("comp_id"))

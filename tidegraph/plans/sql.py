@@ -60,8 +60,8 @@ dn(node_id, d_min) USING KEY (node_id) AS (
 depth AS MATERIALIZED (SELECT node_id, d_max::BIGINT AS d_max, d_min::BIGINT AS d_min, chunk_id FROM dx JOIN dn USING (node_id) JOIN nodes USING (node_id))"""
 
 ORIGIN = """,
-px AS (SELECT e.dst, min(e.src) AS p FROM edges e JOIN depth a ON a.node_id = e.src JOIN depth b ON b.node_id = e.dst AND b.d_max = a.d_max + 1 GROUP BY e.dst),
-pn AS (SELECT e.dst, min(e.src) AS p FROM edges e JOIN depth a ON a.node_id = e.src JOIN depth b ON b.node_id = e.dst AND b.d_min = a.d_min + 1 GROUP BY e.dst),
+px AS MATERIALIZED (SELECT e.dst, min(e.src) AS p FROM edges e JOIN depth a ON a.node_id = e.src JOIN depth b ON b.node_id = e.dst AND b.d_max = a.d_max + 1 GROUP BY e.dst),
+pn AS MATERIALIZED (SELECT e.dst, min(e.src) AS p FROM edges e JOIN depth a ON a.node_id = e.src JOIN depth b ON b.node_id = e.dst AND b.d_min = a.d_min + 1 GROUP BY e.dst),
 sx(node_id, src_max) AS (SELECT node_id, node_id FROM depth WHERE d_max = 0 UNION ALL SELECT px.dst, sx.src_max FROM sx JOIN px ON px.p = sx.node_id),
 sn(node_id, src_min) AS (SELECT node_id, node_id FROM depth WHERE d_min = 0 UNION ALL SELECT pn.dst, sn.src_min FROM sn JOIN pn ON pn.p = sn.node_id)"""
 
@@ -186,4 +186,19 @@ ORACLE_SQL = {
     "depth_cohort_hellinger": _cohort_hellinger(),
     "depth_cohort_matrix": _graph(f"SELECT i, j, hellinger, 'd_max' AS measure FROM ({_matrix('px2')}) UNION ALL SELECT i, j, hellinger, 'd_min' FROM ({_matrix('pn2')})", DEPTH, _COHORT, _norm(_CO_MAX, "d", "freq", "rank", "px2"), _norm(_CO_MIN, "d", "freq", "rank", "pn2"), recursive=True),  # noqa: E501
     "distance_exact": _graph("SELECT d::BIGINT AS distance, count(*) AS pairs FROM bfs GROUP BY d", ", e1 AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges WHERE chunk_id <= 1), bfs(a, b, d) USING KEY (a, b) AS (SELECT src, dst, 1 FROM e1 UNION SELECT f.a, e.dst, min(f.d + 1) FROM bfs f JOIN e1 e ON f.b = e.src LEFT JOIN recurring.bfs r ON r.a = f.a AND r.b = e.dst WHERE r.d IS NULL AND f.a <> e.dst GROUP BY f.a, e.dst)", recursive=True),  # noqa: E501
+    "depth_blocks": _graph("SELECT node_id, d_max, d_min, src_max, src_min FROM depth JOIN sx USING (node_id) JOIN sn USING (node_id)", DEPTH, ORIGIN, recursive=True),
+    "wcc_size_dist_rounds": _graph("SELECT chunk_id, size::BIGINT AS size, num_comp::BIGINT AS num_comp FROM sizes", SNAPS, WCC, recursive=True),
+    "cursor_chunks": _graph(
+        "SELECT m::INT AS chunk_id, count(*) AS nodes, min(node_id) AS first_node, max(node_id) AS last_node FROM ("
+        "SELECT node_id, max(CASE WHEN c BETWEEN 1 AND 10 THEN c ELSE 1000 END) OVER (ORDER BY node_id) AS m FROM ("
+        "SELECT node_id, (year(t) - 1995) * 2 + CASE WHEN month(t) <= 6 THEN 1 ELSE 2 END AS c FROM ("
+        "SELECT node_id, greatest(CASE WHEN node_id % 5 = 0 THEN created_at::TIMESTAMP - INTERVAL 40 DAYS ELSE created_at::TIMESTAMP END, TIMESTAMP '1995-01-01') AS t FROM nodes))) WHERE m < 1000 GROUP BY 1"
+    ),
+    "snapshot_evolution_even": _graph("SELECT chunk_id, nodes, arcs FROM evo WHERE chunk_id % 2 = 0", SNAPS),
+    "views_edges_by_chunk": _graph("SELECT k.chunk_id, count(e.src) AS arcs, count(DISTINCT e.dst) AS targets FROM (SELECT unnest(range(1, 15))::INT AS chunk_id) k LEFT JOIN edges e USING (chunk_id) GROUP BY 1"),
+    "degree_file": _dense("indeg").replace("SELECT m.chunk_id, m.degree", "SELECT m.degree") + " WHERE m.chunk_id = 14",
+    "stats_file": _graph("SELECT unnest(['chunk_id', 'nodes', 'arcs']) AS key, unnest([chunk_id::BIGINT, nodes, arcs]) AS value FROM evo WHERE chunk_id = 14", SNAPS),
+    "edges_table_file": _graph("SELECT src, dst, chunk_id FROM edges"),
+    "edges_packed": _graph("SELECT src, dst, chunk_id FROM edges"),
+    "components_file": _graph(f"SELECT row_number() OVER (ORDER BY node_id) - 1 AS node_rank, comp_id FROM ({_LABELS.format(k=1)})", SNAPS.replace("range(1, 15)", "range(1, 2)"), WCC, recursive=True),
 }

@@ -7,39 +7,54 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _records(spark: SparkSession, path: str, width: int, kind: str, names: list[str]) -> DataFrame:
-    """Little-endian records of ``width`` bytes in file order; a size that does not divide is an error."""
+def _records(spark: SparkSession, path: str, width: int, kind: str, names: list[str], numbered: bool = False) -> DataFrame:
+    """Little-endian records of ``width`` bytes, with their ``position`` in file order if ``numbered``; a size that does not divide is an error."""
     files = spark.read.format("binaryFile").load(path).select("length")
     if files.where(F.col("length") % width != 0).limit(1).count():
         raise ValueError(f"{path}: size is not a multiple of {width}")
     import struct
 
-    rdd = spark.sparkContext.binaryRecords(path, width).zipWithIndex().map(lambda x: (x[1], *struct.unpack(kind, x[0])))
-    return spark.createDataFrame(rdd, T.StructType([T.StructField(n, T.LongType()) for n in ["position", *names]]))
+    rdd = spark.sparkContext.binaryRecords(path, width)
+    rows = rdd.zipWithIndex().map(lambda x: (x[1], *struct.unpack(kind, x[0]))) if numbered else rdd.mapPartitions(lambda part: struct.iter_unpack(kind, b"".join(part)))
+    return spark.createDataFrame(rows, T.StructType([T.StructField(n, T.LongType()) for n in (["position"] if numbered else []) + names]))
 
 
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
     """``(src, dst)`` from 16-byte pairs of unsigned 64-bit numbers."""
-    return _records(spark, path, 16, "<QQ", ["src", "dst"]).select("src", "dst")
+    return _records(spark, path, 16, "<QQ", ["src", "dst"])
 
 
 def read_vector(spark: SparkSession, path: str, name: str = "value", unset: int | None = 0xFFFFFFFF) -> DataFrame:
     """``(node_id, name)`` from unsigned 32-bit numbers by position; ``unset`` reads as null."""
-    out = _records(spark, path, 4, "<I", [name]).withColumnRenamed("position", "node_id")
+    out = _records(spark, path, 4, "<I", [name], numbered=True).withColumnRenamed("position", "node_id")
     return out if unset is None else out.withColumn(name, F.when(F.col(name) != unset, F.col(name)))
 
 
+def read_paired_vectors(spark: SparkSession, a: str, b: str, names: tuple[str, str] = ("a", "b")) -> DataFrame:
+    """``(node_id, a, b)`` from two vectors of the same nodes; vectors of different length are an error."""
+    size = [spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] for path in (a, b)]
+    if size[0] != size[1]:
+        raise ValueError(f"{a} has {size[0]} bytes and {b} has {size[1]}")
+    return read_vector(spark, a, names[0]).join(read_vector(spark, b, names[1]), "node_id")
+
+
 def read_packed_dist(spark: SparkSession, path: str) -> DataFrame:
     """``(d, freq)`` from 12-byte records (unsigned 32-bit, unsigned 64-bit)."""
-    return _records(spark, path, 12, "<IQ", ["d", "freq"]).select("d", "freq")
+    return _records(spark, path, 12, "<IQ", ["d", "freq"])
+
+
+def lines_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, start, row, value)``: text lines, whose order is that of the first three: by file name, place of the split in it, line."""
+    where = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    return spark.read.text(path).select(*where, F.monotonically_increasing_id().alias("row"), "value")
 
 
 def read_degree_counts(spark: SparkSession, path: str) -> DataFrame:
     """``(degree, freq)`` from one number a line, line k being degree k; blank lines do not count."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("i"), F.trim("value").alias("v")).where("v <> ''")
+    lines = lines_in_order(spark, path).withColumn("v", F.trim("value")).where("v <> ''")
     from tidegraph.operators.numbering import positions
 
-    return positions(lines, ["i"], "degree").select("degree", F.col("v").cast("long").alias("freq"))
+    return positions(lines, ["file", "start", "row"], "degree").select("degree", F.col("v").cast("long").alias("freq"))
 
 
 def read_stats(spark: SparkSession, path: str) -> DataFrame:
@@ -69,6 +84,6 @@ def text_to_parquet(spark: SparkSession, source: str, target: str, **how) -> Non
 
 def read_distance_report(spark: SparkSession, path: str) -> DataFrame:
     """``(distance, diameter)`` from the first line of a report: words 3 and 5, parentheses aside."""
-    words = F.split(F.translate("value", "()", ""), " ")
+    words = F.split(F.trim(F.translate("value", "()\t", "   ")), " +")
     line = spark.read.text(path).limit(1)
     return line.select(F.get(words, F.lit(2)).try_cast("double").alias("distance"), F.get(words, F.lit(4)).try_cast("int").alias("diameter"))

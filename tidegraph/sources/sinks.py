@@ -1,4 +1,4 @@
-"""Writers.  All overwrite, so a rerun gives the same files."""
+"""Writers.  All overwrite unless told to append, so a rerun gives the same files."""
 
 from __future__ import annotations
 
@@ -27,8 +27,23 @@ def write_components(labels: DataFrame, path: str) -> None:
     labels.orderBy("node_id").select(F.col("comp_id").cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
-def write_tsv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+def write_tsv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """``mode="append"`` adds the rows to those of earlier runs."""
+    df.write.mode(mode).option("sep", "\t").option("header", True).csv(path)
+
+
+def write_degree_counts(dist: DataFrame, path: str) -> None:
+    """``(degree, freq)`` as one number a line, line k being degree k; degrees without nodes are 0."""
+    top = dist.agg(F.max("degree").cast("long").alias("top"))
+    every = top.where("top IS NOT NULL").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("top"))).alias("degree"))
+    lines = every.join(dist.select(F.col("degree").cast("long").alias("degree"), "freq"), "degree", "left")
+    lines.orderBy("degree").select(F.coalesce("freq", F.lit(0)).cast("string").alias("value")).write.mode("overwrite").text(path)
+
+
+def write_stats(row: DataFrame, path: str) -> None:
+    """One row as ``key=value`` lines."""
+    pairs = F.array(*[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in row.columns])
+    row.select(F.explode(pairs).alias("value")).write.mode("overwrite").text(path)
 
 
 def with_empty_chunks(dist: DataFrame, calendar: DataFrame) -> DataFrame:
