@@ -40,6 +40,14 @@ def test_mixed_texts_scripts_and_edges(spark):
     assert [r.lang_pred for r in language.predict(new, None).collect()] == ["und"] * 4 and language.predict(new.limit(0), model).count() == 0
 
 
+def test_dirty_languages(spark, monkeypatch):
+    """Of too many names the commonest are learned; nothing fails."""
+    monkeypatch.setattr(language, "MAX_LANGS", 2)
+    rows = [(1, "the cat and the dog " * 9, "en", 1.0, 2), (2, "der hund und die katze " * 9, "de", 1.0, 2), (3, "la", "x", 1.0, 2), (4, "le", "y", 1.0, 2)]
+    model = language.train(spark.createDataFrame(rows, SCHEMA))
+    assert model.langs == ["de", "en"]
+
+
 def test_viterbi_in_step_is_viterbi():
     rng = np.random.default_rng(0)
     first = np.array([0, 5, 5, 17, 18, 30])
@@ -75,6 +83,41 @@ def test_cosines_are_exact_and_edges(spark):
     assert knn.score(docs.limit(0), model).count() == 0
 
 
+def test_votes_against_a_dense_loop(spark):
+    """Features, cosines, ties and votes in plain numbers; repeated rows of a labelled document count once."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.limit(3))
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", "quality")
+    model = knn.fit(docs, labels)
+    assert len(model.labels) == len(model.vectors) <= labels.count()
+
+    def vector(text):
+        data = (text or "").encode()
+        count = Counter()
+        for i in range(len(data) - 2):
+            x = [32 if b == 32 or 9 <= b <= 13 else b for b in data[i : i + 3]]
+            key = ((x[0] << 16 | x[1] << 8 | x[2]) * 0x9E3779B1) % (1 << 32) >> 19
+            count[key % (knn.BUCKETS - knn.REPEATS)] += 1
+        words = re.findall(rb"[^\x20\x09-\x0D]+", bytes(b + 32 if 65 <= b <= 90 else b for b in data))
+        share = 100 * sum(a == b for a, b in zip(words, words[1:])) // max(1, len(words))
+        if share and count:
+            count.update({knn.BUCKETS - 1 - i: share for i in range(knn.REPEATS)})
+        out = np.zeros(knn.BUCKETS)
+        for k, n in count.items():
+            out[k] = (1 + math.log(n)) * model.idf[k]
+        v = out @ model.basis.astype(float)
+        return v / max(np.linalg.norm(v), 1e-9)
+
+    rows = docs.collect()
+    got = sorted((r.doc_id, r.score) for r in knn.score(docs, model).collect())
+    assert len(got) == len(rows)
+    for (doc, score), r in zip(got, sorted(rows, key=lambda r: r.doc_id)):
+        cosine = model.vectors.astype(float) @ vector(r.text)
+        weight = np.where(cosine >= np.sort(cosine)[-knn.NEIGHBOURS] - 1e-6, np.maximum(cosine, 0), 0)
+        want = (weight * model.labels).sum() / weight.sum() if weight.sum() > 1e-6 else model.prior
+        assert doc == r.doc_id and score == pytest.approx(min(1, max(0, want)), abs=2e-3)
+
+
 def test_language_model_base_and_gain(spark):
     rows = gru_lm.op10_lm_scoring(spark, DIR).collect()
     low = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))

@@ -5,12 +5,13 @@ its words that repeat the word before, log-scaled and weighted by the document f
 leading singular vectors of at most ``SAMPLE`` labelled texts (a documented bound: those
 of smallest hash of their id).  Their vectors, at most ``SAMPLE`` x ``RANK`` floats, are
 broadcast; every text is projected and its cosines with all of them are computed in
-exact blocks; the ``NEIGHBOURS`` nearest vote with their similarity as weight.
+exact blocks; the ``NEIGHBOURS`` nearest, and all that tie with the last of them, vote with their similarity as weight.
 
 Defined results: a text without trigrams (null, empty, one or two characters) or with no
 positive similarity gets the share of label 1 in the sample; so do all with no labels
 (share 0.5); null labels are not learned; of several labels of a document the largest
-counts; repeated rows are scored each; an empty table gives an empty table.
+counts; a labelled document with several rows is learned by the least of its texts; repeated rows are scored each; an empty table
+gives an empty table; other columns are not read, whatever they are called; a very long text is held whole by one task.
 """
 
 from __future__ import annotations
@@ -112,11 +113,11 @@ class Model:
             x[row[lo:hi] - a, bucket[lo:hi]] = w[lo:hi]
             cosine = self._unit(x @ self.basis) @ self.vectors.T
             k = min(NEIGHBOURS, cosine.shape[1])
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0)
+            last = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, cosine.shape[1] - k, None]
+            weight = np.where(cosine >= last, np.maximum(cosine, 0), 0)
             total = weight.sum(axis=1)
             some = total > 1e-6
-            out[a : a + len(x)][some] = (weight * self.labels[near]).sum(axis=1)[some] / total[some]
+            out[a : a + len(x)][some] = (weight @ self.labels)[some] / total[some]
         return np.clip(out, 0, 1)
 
 
@@ -129,7 +130,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     one = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
     # `sample` ids at most: a bounded side to broadcast.
     few = one.withColumn("h", F.xxhash64(F.lit("sample"), F.col("doc_id"))).orderBy("h", "doc_id").limit(sample)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "h", "label").mapInArrow(_sparse, "h long, label int, bucket array<int>, n array<int>")
+    # One row to a document, so that what reaches the driver is bounded too.
+    texts = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("h", "label").agg(F.min("text").alias("text"))
+    chosen = texts.select("text", "h", "label").mapInArrow(_sparse, "h long, label int, bucket array<int>, n array<int>")
     table = chosen.toArrow().combine_chunks().sort_by("h").slice(0, sample)
     if not table.num_rows:
         return Model(frequency, np.zeros(0), *[np.zeros(0, np.int64)] * 3)

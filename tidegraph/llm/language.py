@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ BUCKETS = 1 << 15
 SWITCH = 8.0
 SMOOTH = 0.5
 SHARE = 0.005
-#: Languages one model may have; their names are the only part of it that the data set.
+#: Languages one model learns at most, the commonest by their letters; their names are the only part of it that the data set.
 MAX_LANGS = 1000
 #: First code points of script ranges, and the scripts' numbers (0: other).  Fixed values.
 RANGES = [
@@ -167,15 +168,17 @@ def train(docs: DataFrame) -> Model | None:
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
     sums = rows.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     sums = scratch.materialize(sums, "grams")
-    langs = [r["lang"] for r in sums.select("lang").distinct().orderBy("lang").limit(MAX_LANGS + 1).collect()]
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    # A dirty column may hold any number of names: the commonest are learned.
+    common = sums.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(MAX_LANGS).select("lang")
+    common = scratch.materialize(common, "langs")
+    langs = sorted(r["lang"] for r in common.collect())
     if not langs:
         return None
     counts = np.zeros((len(langs), BUCKETS + SCRIPTS), np.int64)
-    table = sums.toArrow()
-    number = {x: i for i, x in enumerate(langs)}
-    counts[[number[x] for x in table.column("lang").to_pylist()], table.column("bucket").to_numpy()] = table.column("n").to_numpy()
+    # MAX_LANGS names at most: a bounded side to broadcast, and MAX_LANGS x (BUCKETS + SCRIPTS) numbers at most.
+    table = sums.join(F.broadcast(common), "lang").toArrow()
+    number = pc.index_in(table.column("lang"), value_set=pa.array(langs, table.column("lang").type)).to_numpy()
+    counts[number, table.column("bucket").to_numpy()] = table.column("n").to_numpy()
     return Model(langs, counts)
 
 
