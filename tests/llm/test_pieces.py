@@ -66,3 +66,20 @@ def test_documents_table(spark):
     rows = pieces.op3_sentencepiece(spark, "/root/testdata/sf0.001").collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     assert len(rows) == len(texts) and all(r.round_trip and r.ids == REF.encode(texts[r.doc_id]) for r in rows)
+
+
+def test_runs_of_one_hash_are_told_apart(monkeypatch):
+    """With a hash that tells almost nothing apart the ids stay those of the library."""
+    monkeypatch.setattr(_text, "word_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(3))
+    texts = ["the cat sat on the mat and the dog ran", "une autre phrase avec d'autres mots", "a b c a", ""]
+    assert encoded(texts)[0] == [REF.encode(t) for t in texts]
+
+
+def test_word_hashes_do_not_depend_on_their_place():
+    words = [b"a", b"word", "übung".encode(), b"x" * 300_000, b"word", b"tail"]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = ends - [len(w) for w in words]
+    whole = _text.word_hashes(data, starts, ends)
+    alone = [_text.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0] for w in words]
+    assert whole.tolist() == [int(x) for x in alone] and len(set(alone)) == 5

@@ -246,14 +246,19 @@ class Encoder:
             starts = to[full]
         ends = np.append(starts[1:], len(spaced))
         hashes = _text.word_hashes(spaced, starts, ends)
-        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         raw, found = spaced.tobytes(), []
-        for h, a, b in zip(unique.tolist(), starts[first].tolist(), ends[first].tolist(), strict=True):
+        if not _same(spaced, starts, ends, first[inverse]):  # two runs of one hash: tell them apart by their bytes
+            seen: dict[bytes, int] = {}
+            inverse = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+            first = np.unique(inverse, return_index=True)[1]
+        for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True):
+            h = raw[a:b]
             ids = self.known.get(h)
             if ids is None:
                 ids = self.older.get(h)
                 if ids is None:
-                    ids = self.run_ids(raw[a:b].decode("utf-8", "replace").replace(" ", MARK))
+                    ids = self.run_ids(h.decode("utf-8", "replace").replace(" ", MARK))
                 if b - a <= 64:
                     if len(self.known) >= CACHE:
                         self.older, self.known = self.known, {}
@@ -288,6 +293,20 @@ class Encoder:
         return np.delete(out, lead), to - np.searchsorted(lead, to)
 
 
+def _same(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, like: np.ndarray) -> bool:
+    """Whether every run has the bytes of the run that stands for it."""
+    size = ends - starts
+    if (size != size[like]).any():
+        return False
+    for a in range(0, len(size), 1 << 16):
+        own = size[a : a + (1 << 16)]
+        begin = np.cumsum(own) - own
+        place = np.arange(int(own.sum()), dtype=np.int64)
+        if (data[place + np.repeat(starts[a : a + (1 << 16)] - begin, own)] != data[place + np.repeat(starts[like[a : a + (1 << 16)]] - begin, own)]).any():
+            return False
+    return True
+
+
 _encoders: dict[str, Encoder] = {}
 
 
