@@ -53,9 +53,13 @@ _WRITING = {
 
 def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back."""
+    return append(df, path(df.sparkSession, name), partition_by)
+
+
+def append(df: DataFrame, where: str, partition_by: str | None = None) -> DataFrame:
+    """Add ``df`` to the table at ``where`` and return the whole table read back."""
     spark = df.sparkSession
-    where = path(spark, name)
-    out = df.write.option("compression", "zstd")
+    out = df.write.mode("append").option("compression", "zstd")
     before = {k: spark.conf.get(k, None) for k in _WRITING}
     try:
         for k, v in _WRITING.items():
@@ -67,6 +71,22 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return spark.read.schema(df.schema).parquet(where)
 
 
+def _at(spark: SparkSession, where: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, where: str) -> bool:
+    files, at = _at(spark, where)
+    return files.exists(at)
+
+
+def remove(spark: SparkSession, where: str) -> None:
+    """Delete a folder below the shared one that nothing reads any more."""
+    files, at = _at(spark, where)
+    files.delete(at, True)
+
+
 def replace(df: DataFrame, name: str, *old: DataFrame) -> DataFrame:
     """``materialize(df, name)``, after which the materialized tables that it was made from go."""
     out = materialize(df, name)
