@@ -97,14 +97,20 @@ def test_votes_against_a_dense_loop(spark):
         for i in range(len(data) - 2):
             x = [32 if b == 32 or 9 <= b <= 13 else b for b in data[i : i + 3]]
             key = ((x[0] << 16 | x[1] << 8 | x[2]) * 0x9E3779B1) % (1 << 32) >> 19
-            count[key % (knn.BUCKETS - knn.REPEATS)] += 1
+            count[key % knn.GRAMS] += 1
         words = re.findall(rb"[^\x20\x09-\x0D]+", bytes(b + 32 if 65 <= b <= 90 else b for b in data))
-        share = 100 * sum(a == b for a, b in zip(words, words[1:])) // max(1, len(words))
-        if share and count:
-            count.update({knn.BUCKETS - 1 - i: share for i in range(knn.REPEATS)})
+        last, kinds = {}, Counter()
+        for i, w in enumerate(words):
+            kinds[min(int(math.log2(i - last[w])) + 1, knn.RETURNS - 1) if w in last else 0] += 1
+            last[w] = i
+        if count:
+            count.update({knn.GRAMS + k: 100 * n // len(words) for k, n in kinds.items()})
         out = np.zeros(knn.BUCKETS)
         for k, n in count.items():
-            out[k] = (1 + math.log(n)) * model.idf[k]
+            out[k] = (1 + math.log(n)) * model.idf[k] if n else 0
+        for view in (out[: knn.GRAMS], out[knn.GRAMS :]):
+            view /= max(np.linalg.norm(view), 1e-9)
+        out[knn.GRAMS] = 0
         v = out @ model.basis.astype(float)
         return v / max(np.linalg.norm(v), 1e-9)
 

@@ -1,7 +1,10 @@
 """Quality classifier: votes of the nearest labelled texts in a latent-semantic space.
 
-A text is its hashed character trigrams (case kept, white space as one mark) and the share of
-its words that repeat the word before, log-scaled and weighted by the document frequencies of all texts.  The space is spanned by the
+A text has two views of equal weight, each of length one.  The first is its hashed character trigrams (case
+kept, white space as one mark).  The second tells how its words come back: for each word the distance to the same
+word before it in the text (A-Z in either case), counted by powers of two, in per cent of its words; words that
+were not there before count for its length only, so that texts without returns are not alike for that.  Counts are log-scaled and weighted by
+the document frequencies of all texts.  The space is spanned by the
 leading singular vectors of at most ``SAMPLE`` labelled texts (a documented bound: those
 of smallest hash of their id).  Their vectors, at most ``SAMPLE`` x ``RANK`` floats, are
 broadcast; every text is projected and its cosines with all of them are computed in
@@ -27,34 +30,43 @@ from tidegraph import scratch
 from tidegraph.llm import _text
 
 BUCKETS = 8192
-#: So many buckets carry the same word-repeat measure: its weight in the cosine.
-REPEATS = 16
+#: The last buckets: words that were not there before, and distances of 1, 2-3, 4-7 ... 2**14 and more words.
+RETURNS = 16
+GRAMS = BUCKETS - RETURNS
 SAMPLE = 4096
 RANK = 64
 NEIGHBOURS = 25
 CUT = 0.3
 
 
+def _returns(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each row the per cent of its words by their distance to the same word before, in ``RETURNS`` classes."""
+    low = _text.LOWER[data]
+    starts, ends, first = _text.words(low, at)
+    hashes = _text.word_hashes(low, starts, ends)
+    row = np.repeat(np.arange(len(at) - 1), np.diff(first))
+    order = np.lexsort((hashes, row))  # stable: equal words of a row in their order
+    back = (hashes[order][1:] == hashes[order][:-1]) & (row[order][1:] == row[order][:-1])
+    kind = np.zeros(len(order), np.int64)
+    kind[1:][back] = np.minimum(np.frexp(np.diff(order)[back].astype(float))[1], RETURNS - 1)
+    found = np.bincount(row[order] * RETURNS + kind, minlength=(len(at) - 1) * RETURNS).reshape(-1, RETURNS)
+    return 100 * found // np.maximum(np.diff(first), 1)[:, None]
+
+
 def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(row, bucket, count)`` of the byte trigrams of each row, and in the last ``REPEATS`` buckets
-    the per cent of its words that repeat the word before (A-Z in either case)."""
+    """``(row, bucket, count)`` of the byte trigrams of each row, and of its words' returns in the last ``RETURNS`` buckets."""
     if len(data) < 3:
         none = np.zeros(0, np.int64)
         return none, none, none
     x = np.where(_text.SPACE[data], 32, data).astype(np.uint32)
     key = (x[:-2] << np.uint32(16)) | (x[1:-1] << np.uint32(8)) | x[2:]
-    key = ((key * np.uint32(0x9E3779B1)) >> np.uint32(19)) % np.uint32(BUCKETS - REPEATS)
+    key = ((key * np.uint32(0x9E3779B1)) >> np.uint32(19)) % np.uint32(GRAMS)
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))[:-2]
     inside = np.arange(len(key)) + 3 <= at[1:][row]
     flat = row[inside] * BUCKETS + key[inside].astype(np.int64)
     count = np.bincount(flat, minlength=(len(at) - 1) * BUCKETS)
-    low = _text.LOWER[data]
-    starts, ends, first = _text.words(low, at)
-    hashes = _text.word_hashes(low, starts, ends)
-    again = np.concatenate([[0], np.cumsum(np.concatenate([[False], hashes[1:] == hashes[:-1]]))]) if len(hashes) else np.zeros(1, np.int64)
-    inner = np.minimum(first[:-1] + 1, first[1:])  # the first word of a row repeats none
-    share = 100 * (again[first[1:]] - again[inner]) // np.maximum(np.diff(first), 1)
-    count.reshape(len(at) - 1, BUCKETS)[:, BUCKETS - REPEATS :] = share[:, None]
+    views = count.reshape(len(at) - 1, BUCKETS)
+    views[:, GRAMS:] = np.where(np.diff(at)[:, None] >= 3, _returns(data, at), 0)
     filled = np.flatnonzero(count)
     return filled // BUCKETS, filled % BUCKETS, count[filled]
 
@@ -87,7 +99,7 @@ class Model:
             return
         x = np.zeros((len(labels), BUCKETS), np.float32)
         x[rows, buckets] = self._weight(buckets, counts)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        self._level(x)
         rank = min(RANK, len(labels))
         span = np.linalg.qr(x @ np.random.default_rng(17).standard_normal((BUCKETS, min(rank + 16, len(labels))), dtype=np.float32))[0]
         for _ in range(3):
@@ -98,6 +110,12 @@ class Model:
     def _weight(self, bucket: np.ndarray, count: np.ndarray) -> np.ndarray:
         return (1 + np.log(count.astype(np.float32))) * self.idf[bucket]
 
+    def _level(self, x: np.ndarray) -> None:
+        """Bring both views of each row to length one, then leave out the words that were not there before."""
+        for view in (x[:, :GRAMS], x[:, GRAMS:]):
+            view /= np.maximum(np.linalg.norm(view, axis=1, keepdims=True), 1e-9)
+        x[:, GRAMS] = 0
+
     @staticmethod
     def _unit(v: np.ndarray) -> np.ndarray:
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
@@ -111,6 +129,7 @@ class Model:
             lo, hi = np.searchsorted(row, [a, min(n, a + 256)])
             x = np.zeros((min(n, a + 256) - a, BUCKETS), np.float32)
             x[row[lo:hi] - a, bucket[lo:hi]] = w[lo:hi]
+            self._level(x)
             cosine = self._unit(x @ self.basis) @ self.vectors.T
             k = min(NEIGHBOURS, cosine.shape[1])
             last = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, cosine.shape[1] - k, None]
