@@ -138,3 +138,13 @@ def test_prefix_int_and_counts(spark):
     assert (rows[0].ts, rows[0].tx_id, rows[0].out_count) == (12, 7, 5)
     assert [tuple(i) for i in rows[0].inputs] == [(-3, 4), (0, 0)]
     assert (rows[1].ts, rows[1].tx_id) == (0, 0)
+
+
+def test_files_of_a_folder_are_read_by_name(spark, tmp_path):
+    """Also where the later file is the larger one, which Spark reads first."""
+    (tmp_path / "part-2.txt").write_text("".join(f"{i},0,{i},0::a,1,0\n" for i in range(500, 1500)))
+    (tmp_path / "part-1.txt").write_text("".join(f"{i},0,{i},0::a,1,0\r\n" for i in range(500)))
+    parsed = transactions.numbered(transactions.parse(transactions.read_lines(spark, [str(tmp_path)])))
+    assert [r.tx_id for r in parsed.orderBy("read_seq").collect()] == list(range(1500))
+    with pytest.raises(Exception, match="a line of [0-9]+ bytes in .*part-"):
+        transactions.read_lines(spark, [str(tmp_path)], longest=12).collect()

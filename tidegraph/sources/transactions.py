@@ -6,16 +6,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.operators.numbering import positions
+from tidegraph.sources.files import lines_in_order
 
 
-def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``(file_seq, value)``: lines of files in the order given, without ``\\r``; files are never joined."""
+#: Bytes of a line at most.
+LONGEST = 64 << 20
+
+
+def read_lines(spark: SparkSession, paths: list[str], longest: int = LONGEST) -> DataFrame:
+    """``(file_seq, line_seq, value)``: lines of files in the order given, without ``\\r``; files are never joined.
+
+    The files of a folder follow each other by name.  A line of more than ``longest`` bytes fails at run time.
+    """
     out = None
     for i, path in enumerate(paths):
-        one = spark.read.text(path).withColumn("value", F.regexp_replace("value", "\\r$", ""))
-        one = one.select(F.lit(i).alias("file_seq"), F.monotonically_increasing_id().alias("line_seq"), "value")
+        one = lines_in_order(spark, path).select(F.lit(i).alias("file_seq"), F.struct("file", "start", "row").alias("line_seq"), F.regexp_replace("value", "\\r$", "").alias("value"))
         out = one if out is None else out.unionByName(one)
-    return out
+    size = F.octet_length("value")
+    fail = F.raise_error(F.format_string("a line of %d bytes in %s", size, "line_seq.file")).cast("string")
+    return out.withColumn("value", F.when(size > longest, fail).otherwise(F.col("value")))
 
 
 def _prefix_int(text: Column) -> Column:
