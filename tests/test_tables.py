@@ -42,6 +42,15 @@ def test_no_block_is_larger_than_a_task_holds(spark, graph, monkeypatch):
     assert sorted(tuple(r) for r in queries.depth_blocks(spark, SMALL).collect()) == want and len(blocks) == 6
 
 
+def test_edges_are_counted_before_they_meet_the_calendar(spark):
+    df = queries.views_edges_by_chunk(spark, SMALL)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftOuter") < plan.index("Aggregate")
+    edges = registry.QUERIES["graph_edges"](spark, SMALL).collect()
+    want = {k: (sum(e.chunk_id == k for e in edges), len({e.dst for e in edges if e.chunk_id == k})) for k in range(1, testgraph.COUNT + 1)}
+    assert {r.chunk_id: (r.arcs, r.targets) for r in df.collect()} == want
+
+
 def test_every_query_has_sql_or_a_reason(spark):
     without = {"powerlaw_fit", "distance_hll"}
     assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == without
