@@ -1,5 +1,8 @@
 """The twelve-line fixture and its variations: every quirk of the format, with full expected output."""
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +70,49 @@ def test_components(micro):
     assert sizes == {1: 2, 9: 1}
 
 
+def random_graph(spark, n=600, gaps=1):
+    """Edges rise and come with their later end; ids may have gaps."""
+    rng = random.Random(7)
+    born = sorted(rng.randint(1, 5) for _ in range(n))
+    pairs = sorted({tuple(sorted(rng.sample(range(n), 2))) for _ in range(n * 2 // 3)}, key=lambda p: rng.random())
+    nodes = spark.createDataFrame([(i * gaps, k) for i, k in enumerate(born)], "node_id long, chunk_id int")
+    return nodes, spark.createDataFrame([(a * gaps, b * gaps, born[b]) for a, b in pairs], "src long, dst long, chunk_id int"), born, pairs
+
+
+def roots(n, pairs):
+    label = list(range(n))
+    for _ in range(n):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+        if all(label[a] == label[b] for a, b in pairs):
+            return label
+
+
+@pytest.mark.parametrize("gaps", [1, 3])
+@pytest.mark.parametrize("piece", [50, 2_000_000])
+def test_graphs_over_five_million_rows_need_no_rounds(spark, monkeypatch, gaps, piece):
+    """Sizes of all snapshots and labels of the whole from one pass over the contracted edges."""
+    nodes, edges, born, pairs = random_graph(spark, gaps=gaps)
+    monkeypatch.setattr(components, "PIECE", piece)
+    monkeypatch.setattr(components, "PACK", 64)
+    monkeypatch.setattr(components, "connected_components", None)
+    want = {}
+    for k in range(1, 6):
+        label = roots(len(born), [(a, b) for a, b in pairs if born[b] <= k])
+        sizes = Counter(label[i] for i in range(len(born)) if born[i] <= k)
+        want |= {(k, size): n for size, n in Counter(sizes.values()).items()}
+    assert {(r.chunk_id, r["size"]): r.num_comp for r in components.size_series(nodes, edges, 10_000).collect()} == want
+    label = roots(len(born), pairs)
+    number = {r: i for i, r in enumerate(sorted(set(label)))}
+    assert {r.node_id: r.comp_id for r in components.wcc(nodes, edges, 10_000).collect()} == {i * gaps: number[label[i]] for i in range(len(born))}
+
+
+def test_vertices_that_are_no_nodes_join_but_have_no_number(spark):
+    nodes = spark.createDataFrame([(1,), (3,), (4,), (6,), (9,)], "node_id long")
+    edges = spark.createDataFrame([(0, 4), (0, 9), (3, 5), (5, 6), (None, 1), (1, 1)], "src long, dst long")
+    assert {r.node_id: r.comp_id for r in components.wcc(nodes, edges).collect()} == {1: 0, 3: 1, 4: 2, 6: 1, 9: 2}
+
+
 @pytest.mark.parametrize("block", [1_000_000, 3])
 def test_depths(micro, block):
     rows = {r.node_id: r for r in depth.depths(micro["nodes"], micro["edges"], block).collect()}
