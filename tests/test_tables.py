@@ -97,6 +97,28 @@ def test_distances(spark):
     assert found["diameter"] == exact["diameter"] == 3 and found["avg_distance"] == pytest.approx(exact["avg_distance"], rel=0.05)
 
 
+@pytest.mark.parametrize("directed", [True, False])
+def test_exact_distances_list_no_pairs(spark, monkeypatch, directed):
+    """Cycles, repeated edges, loops and components over several blocks; the table of pairs gives the same."""
+    rng = np.random.default_rng(5)
+    ends = rng.integers(0, 90, (150, 2)) + 100 * rng.integers(0, 3, (150, 1))
+    edges = spark.createDataFrame([*map(tuple, ends.tolist()), (1, 1), (2, None)], "src long, dst long")
+    nodes = spark.range(300).withColumnRenamed("id", "node_id")
+    step = {(a, b) for a, b in ends.tolist() if a != b}
+    step |= set() if directed else {(b, a) for a, b in step}
+    want, seen = {}, {(a, a) for a, _ in step}
+    front, d = seen, 0
+    while front:
+        front = {(a, y) for a, b in front for x, y in step if x == b} - seen
+        seen, d = seen | front, d + 1
+        want |= {d: len(front)} if front else {}
+    found = lambda **a: {r.distance: r.pairs for r in distance.exact(nodes, edges, directed, **a).collect()}
+    assert found(task_edges=0) == want
+    monkeypatch.setattr(distance, "SOURCES", 16)
+    monkeypatch.setattr(distance, "_by_pairs", None)
+    assert found() == want
+
+
 def test_sketches_of_the_whole_graph(spark):
     t = testgraph.graph(spark, "/root/testdata/sf0.001")
     after = {r.node_id: [] for r in t["nodes"].select("node_id").collect()}
