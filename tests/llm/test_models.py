@@ -315,3 +315,34 @@ def test_every_class_is_learned_with_the_state_carried(monkeypatch):
         assert (after[after >= 0] == classes).all() and (before[after >= 0][1:] == classes[:-1]).all() and before[0] == gru_lm.END_SYMBOL
         for (_, left), (begin, _) in zip(states, states[1:]):
             assert (left == begin).all() and left.any()
+
+
+def test_softmaxes_take_each_word_once(monkeypatch):
+    """Words of one group alone: its softmax has a row a word, none for other groups, and blocks change nothing."""
+    rows, real = [], gru_lm._exp
+    monkeypatch.setattr(gru_lm, "_exp", lambda x, bound: rows.append(len(x)) or real(x, bound))
+    rng = np.random.default_rng(4)
+    words = rng.integers(gru_lm.SINGLES, gru_lm.SINGLES + gru_lm.MEMBERS, (6, 50))
+    after = words.copy()
+    after[4:, 45:] = -1
+    got = []
+    for block in (1024, 7):
+        monkeypatch.setattr(gru_lm, "BLOCK", block, raising=False)
+        net = gru_lm.Network(np.ones(gru_lm.CLASSES))
+        rows.clear()
+        h, loss = net.learn(np.zeros((50, gru_lm.HIDDEN), np.float32), words, after, 0.01)
+        assert sum(rows) == 2 * 290
+        rows.clear()
+        score = net.log10_of(words.ravel(), np.array([0, 120, 300]))
+        assert sum(rows) == 2 * 300
+        got.append(np.concatenate([[loss], h.ravel(), net.flat(), score]))
+    assert np.allclose(got[0], got[1], atol=1e-3)
+
+
+def test_sums_by_word():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 500):
+        key, rows = np.minimum(rng.geometric(0.05, n), 99), rng.standard_normal((n, 5))
+        want = np.zeros((100, 5))
+        np.add.at(want, key, rows)
+        assert np.allclose(gru_lm._sums(rows, key, 100), want)

@@ -32,6 +32,7 @@ score; an empty table gives an empty table; other columns are not read, whatever
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,6 +57,8 @@ START_DOCS, START_BYTES = 1200, 8 << 20
 WINDOW = 24
 STREAMS, START_STREAMS = 192, 64
 GROUP_BYTES = 8 << 20
+#: Rows of a softmax at once, and the count above which the rows of a word are summed by themselves.
+BLOCK, OFTEN = 1024, 24
 TRIGRAMS = 4096
 SPELLED = 64
 #: The hash that stands for the end of a text; its row in the counts has no word.
@@ -242,134 +245,214 @@ class Network:
             self.p[k] = flat[at : at + size].reshape(self.p[k].shape).astype(np.float32)
             at += size
 
-    def step(self, h: np.ndarray, before: np.ndarray, enter: np.ndarray | None = None) -> np.ndarray:
-        """The state after another word; ``enter``: the weights of words with the bias added."""
-        x = (self.p["enter"] + self.p["bias"][:, None] if enter is None else enter)[:, before]
-        a = h @ self.p["turn"]
-        gate = _sigmoid(np.add(x[:2], a[:2], out=x[:2]))
-        new = gate[1] * a[2]
-        new += x[2]
+    def laid(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Weights as a step takes them: of words and of the state for both gates side by side, negated, and for the new state; biases are in those of words."""
+        enter, turn = self.p["enter"] + self.p["bias"][:, None], self.p["turn"]
+        gates = [-x[:2].transpose(1, 0, 2).reshape(x.shape[1], -1) for x in (enter, turn)]
+        return gates[0], enter[2], gates[1], turn[2]
+
+    def step(self, h: np.ndarray, before: np.ndarray, laid: tuple | None = None) -> np.ndarray:
+        """The state after another word; ``laid``: the weights, if they are laid out already."""
+        in_gates, in_new, to_gates, to_new = laid or self.laid()
+        gate = h @ to_gates
+        gate += in_gates.take(before, axis=0)
+        _logistic(gate)
+        new = h @ to_new
+        new *= gate[:, HIDDEN:]
+        new += in_new.take(before, axis=0)
         np.tanh(new, out=new)
         out = h - new
-        out *= gate[0]
+        out *= gate[:, :HIDDEN]
         out += new
         return out
 
-    def grouped(self, wanted: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Words of groups laid out as (GROUPS, most words of a group): ``(their places in wanted, places in the layout, members, states in the layout)``."""
+    def learn(self, count: np.ndarray) -> None:
+        self.count = count.astype(np.float32)
+        self.total = self.count.reshape(-1, 64).sum(axis=1)
+
+    def log10_of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, cluster: np.ndarray) -> np.ndarray:
+        if not len(starts):
+            return np.zeros(0)
+        *places, begin = self.places(data, starts, ends, cluster)
+        p = (self.count[places[0]] + np.float32(0.05)) / (self.total[places[0] >> 6] + np.float32(0.05 * 64))
+        for x in places[1:]:
+            p = (self.count[x] + self.WEIGHT * p) / (self.total[x >> 6] + self.WEIGHT)
+        p[(places[0] & 63) == 63] /= 256 - self.KNOWN
+        return np.add.reduceat(np.log10(p).astype(np.float64), begin)
+
+
+def _cluster_table(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """(TRIGRAMS, CLUSTERS) linear scores of spherical k-means over projected trigrams."""
+    rng = np.random.default_rng(23)
+    project = rng.standard_normal((TRIGRAMS, 48)).astype(np.float32)
+    bucket, begin = _trigrams(data, starts, ends)
+    x = np.add.reduceat(project[bucket], begin)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    centre = x[rng.choice(len(x), CLUSTERS, replace=len(x) < CLUSTERS, p=weight / weight.sum())]
+    for _ in range(15):
+        own = (x @ centre.T).argmax(axis=1)
+        for k in range(CLUSTERS):
+            total = (x[own == k] * weight[own == k, None]).sum(axis=0)
+            norm = np.linalg.norm(total)
+            if norm > 0:
+                centre[k] = total / norm
+    return project @ centre.T.astype(np.float32)
+
+
+class Network:
+    """Weights and their gradients; words in, log probabilities of the next class and of the word in its group out."""
+
+    NAMES = ("enter", "turn", "bias", "leave", "base", "inner", "inner_base")
+
+    def __init__(self, prior: np.ndarray, members: np.ndarray | None = None, seed: int = 5):
+        """``prior``: weight of each class; ``members``: weight of each word of the groups, 0 where there is none."""
+        rng = np.random.default_rng(seed)
+        f = np.float32
+        members = np.ones((GROUPS, MEMBERS)) if members is None else members
+        self.p = {
+            # Of the update gate, the reset gate and the new state.
+            "enter": (rng.standard_normal((3, CLASSES, HIDDEN)) * 0.3).astype(f)[:, _CLASS],
+            "turn": (rng.standard_normal((3, HIDDEN, HIDDEN)) / np.sqrt(HIDDEN)).astype(f),
+            "bias": np.stack([np.ones(HIDDEN), np.zeros(HIDDEN), np.zeros(HIDDEN)]).astype(f),
+            "leave": (rng.standard_normal((HIDDEN, CLASSES)) * 0.1).astype(f),
+            "base": np.log(prior / prior.sum()).astype(f),
+            "inner": (rng.standard_normal((GROUPS, HIDDEN, MEMBERS)) * 0.1).astype(f),
+            "inner_base": np.where(members > 0, np.log(np.maximum(members, 1e-9) / np.maximum(members.sum(axis=1, keepdims=True), 1e-9)), -1e4).astype(f),
+        }
+        self.m = {k: np.zeros_like(v) for k, v in self.p.items()}
+        self.v = {k: np.zeros_like(v) for k, v in self.p.items()}
+        self.t = 0
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.p[k].ravel() for k in self.NAMES])
+
+    def load(self, flat: np.ndarray) -> None:
+        at = 0
+        for k in self.NAMES:
+            size = self.p[k].size
+            self.p[k] = flat[at : at + size].reshape(self.p[k].shape).astype(np.float32)
+            at += size
+
+    def laid(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Weights as a step takes them: of words and of the state for both gates side by side, negated, and for the new state; biases are in those of words."""
+        enter, turn = self.p["enter"] + self.p["bias"][:, None], self.p["turn"]
+        gates = [-x[:2].transpose(1, 0, 2).reshape(x.shape[1], -1) for x in (enter, turn)]
+        return gates[0], enter[2], gates[1], turn[2]
+
+    def step(self, h: np.ndarray, before: np.ndarray, laid: tuple | None = None) -> np.ndarray:
+        """The state after another word; ``laid``: the weights, if they are laid out already."""
+        in_gates, in_new, to_gates, to_new = laid or self.laid()
+        gate = h @ to_gates
+        gate += in_gates.take(before, axis=0)
+        _logistic(gate)
+        new = h @ to_new
+        new *= gate[:, HIDDEN:]
+        new += in_new.take(before, axis=0)
+        np.tanh(new, out=new)
+        out = h - new
+        out *= gate[:, :HIDDEN]
+        out += new
+        return out
+
+    def grouped(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words of groups, group after group: ``(their places in wanted, members, where each group begins)``."""
         place = np.flatnonzero((wanted >= SINGLES) & (wanted < OWN))
-        word = wanted[place] - SINGLES
-        group = word // MEMBERS
-        order = np.argsort(group.astype(np.uint8), kind="stable")
-        place, word, group = place[order], word[order], group[order]
-        count = np.bincount(group, minlength=GROUPS)
-        most = int(count.max())
-        at = np.arange(len(group)) + np.repeat(np.arange(GROUPS) * most - np.cumsum(count) + count, count)
-        laid = np.zeros((GROUPS * most, HIDDEN), states.dtype)
-        laid[at] = states[place]
-        return place, at, word % MEMBERS, laid.reshape(GROUPS, most, HIDDEN)
+        word = (wanted[place] - SINGLES).astype(np.uint16)
+        order = np.argsort(word, kind="stable")
+        place, word = place[order], word[order].astype(np.int64)
+        return place, word % MEMBERS, np.searchsorted(word, np.arange(GROUPS + 1) * MEMBERS)
 
     def learn(self, h: np.ndarray, before: np.ndarray, after: np.ndarray, rate: float) -> tuple[np.ndarray, float]:
         """One truncated backpropagation over (steps, streams) words, -1 in ``after`` where a stream is over; the state is carried on."""
         p, n = self.p, HIDDEN
         steps, streams = before.shape
-        turn, back_turn = p["turn"], np.ascontiguousarray(p["turn"].transpose(0, 2, 1))
-        inputs = (p["enter"] + p["bias"][:, None])[:, before]
-        hs = np.empty((steps + 1, streams, n), inputs.dtype)
-        gates, news, ans = np.empty((steps, 2, streams, n), inputs.dtype), np.empty_like(hs[1:]), np.empty_like(hs[1:])
+        in_gates, in_new, to_gates, to_new = self.laid()
+        gates, news = in_gates.take(before, axis=0), in_new.take(before, axis=0)
+        hs, ans = np.empty((steps + 1, streams, n), news.dtype), np.empty_like(news)
         hs[0] = h
         for t in range(steps):
-            a = hs[t] @ turn
-            gate = _sigmoid(np.add(inputs[:2, t], a[:2], out=gates[t]))
-            ans[t] = a[2]
-            new = np.multiply(gate[1], a[2], out=news[t])
-            new += inputs[2, t]
+            gate = gates[t]
+            gate += hs[t] @ to_gates
+            _logistic(gate)
+            a = np.matmul(hs[t], to_new, out=ans[t])
+            new = news[t]
+            new += gate[:, n:] * a
             np.tanh(new, out=new)
             now = np.subtract(hs[t], new, out=hs[t + 1])
-            now *= gate[0]
+            now *= gate[:, :n]
             now += new
-        states, wanted = hs[1:].reshape(-1, n), after.ravel()
-        real = np.flatnonzero(wanted >= 0)
-        out = states @ p["leave"]
-        out += p["base"]
-        total = _exp(out, _bound(p["leave"], p["base"]))
-        cls, one = _CLASS[wanted[real]], 1 / len(real)
-        loss = float(-np.log(np.maximum(out[real, cls] / total[real, 0], 1e-30)).sum())
-        out *= one / total
-        out[real, cls] -= one
-        if len(real) < after.size:
-            out[wanted < 0] = 0
-        g = {"leave": states.T @ out, "base": out.sum(axis=0), "inner": np.zeros_like(p["inner"]), "inner_base": np.zeros_like(p["inner_base"])}
-        back = out @ p["leave"].T
-        place, at, member, x = self.grouped(wanted, states)
-        if len(place):
-            z = x @ p["inner"]
-            z += p["inner_base"][:, None]
-            z = z.reshape(-1, MEMBERS)
-            total = _exp(z, _bound(p["inner"], p["inner_base"]))
-            loss -= float(np.log(np.maximum(z[at, member] / total[at, 0], 1e-30)).sum())
-            scale = np.zeros_like(total)
-            scale[at] = one / total[at]
-            z *= scale
-            z[at, member] -= one
-            z = z.reshape(*x.shape[:2], MEMBERS)
-            g["inner"], g["inner_base"] = x.transpose(0, 2, 1) @ z, z.sum(axis=1)
-            back[place] += (z @ p["inner"].transpose(0, 2, 1)).reshape(-1, n)[at]
-        loss /= len(real)
+        order, edge = _by_word(after.ravel())
+        # With a last column of ones, whose weights are the bases.
+        states = np.ones((steps * streams, n + 1), hs.dtype)
+        states[:, :n] = hs[1:].reshape(-1, n)
+        states, wanted = states.take(order, axis=0), after.ravel().take(order)
+        over = int(np.searchsorted(wanted, 0))
+        one, loss, sorted_back = 1 / (len(wanted) - over), 0.0, np.zeros((len(wanted), n), hs.dtype)
+        leave, inner = np.concatenate([p["leave"], p["base"][None]]), np.concatenate([p["inner"], p["inner_base"][:, None]], axis=1)
+        g_leave, g_inner = np.zeros_like(leave), np.zeros_like(inner)
+        bound, cls = _bound(p["leave"], p["base"]), _CLASS[wanted]
+        for a in range(over, len(wanted), BLOCK):
+            own = slice(a, a + BLOCK)
+            loss += _learn_softmax(states[own], leave, bound, cls[own], one, g_leave, sorted_back[own])
+        bound, member = _bound(p["inner"], p["inner_base"]), (wanted - SINGLES) % MEMBERS
+        for k in range(GROUPS):
+            for a in range(edge[k], edge[k + 1], BLOCK):
+                own = slice(a, min(a + BLOCK, edge[k + 1]))
+                loss += _learn_softmax(states[own], inner[k], bound, member[own], one, g_inner[k], sorted_back[own])
+        loss *= one
+        g = {"leave": g_leave[:n], "base": g_leave[n], "inner": g_inner[:, :n], "inner_base": g_inner[:, n]}
+        back = np.empty_like(sorted_back)
+        back[order] = sorted_back
         back = back.reshape(steps, streams, n)
         # What the gradient of a step is multiplied with, for all steps at once.
-        z, r = gates[:, 0], gates[:, 1]
+        z, r = np.ascontiguousarray(gates[:, :, :n]), np.ascontiguousarray(gates[:, :, n:])
         kept = 1 - z
-        to_new = kept * (1 - news * news)
         to_z = hs[:-1] - news
         to_z *= z
         to_z *= kept
-        to_r = ans * r
-        to_r *= 1 - r
-        dx = np.empty((3, steps, streams, n), inputs.dtype)
-        da = np.empty((steps, 3, streams, n), inputs.dtype)
+        news *= news
+        to_new = np.subtract(1, news, out=news)
+        to_new *= kept
+        to_r = np.subtract(1, r, out=kept)
+        to_r *= r
+        to_r *= ans
+        # Gradients of the update gate, the reset gate and the new state's share of the last one, side by side.
+        da, dnews = np.empty((steps, streams, 3 * n), hs.dtype), ans
+        back_turn = np.ascontiguousarray(p["turn"].transpose(0, 2, 1)).reshape(3 * n, n)
         dh = np.zeros_like(hs[0])
         for t in range(steps - 1, -1, -1):
             dh += back[t]
-            dnew = np.multiply(dh, to_new[t], out=dx[2, t])
+            dnew = np.multiply(dh, to_new[t], out=dnews[t])
             d = da[t]
-            np.multiply(dh, to_z[t], out=d[0])
-            np.multiply(dnew, to_r[t], out=d[1])
-            np.multiply(dnew, r[t], out=d[2])
+            np.multiply(dh, to_z[t], out=d[:, :n])
+            np.multiply(dnew, to_r[t], out=d[:, n : 2 * n])
+            np.multiply(dnew, r[t], out=d[:, 2 * n :])
             dh *= z[t]
-            dh += (d @ back_turn).sum(axis=0)
-        da = da.transpose(1, 0, 2, 3)
-        dx[:2] = da[:2]
-        flat, read = dx.reshape(3, -1, n), before.ravel()
-        # Gradients by word: members of groups are sorted, all others (few symbols) are summed by a product.
-        enter = np.zeros_like(p["enter"])
-        inside = (read >= SINGLES) & (read < OWN)
-        place = np.flatnonzero(inside)
-        if len(place):
-            place = place[np.argsort(read[place].astype(np.uint16), kind="stable")]
-            word = read[place]
-            edge = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            enter[:, word[edge]] = np.add.reduceat(flat[:, place], edge, axis=1)
-        others = np.concatenate([np.arange(SINGLES), np.arange(OWN, SYMBOLS)])
-        which = np.where(read < SINGLES, read, read - (OWN - SINGLES))
-        which[inside] = 0
-        hit = np.zeros((len(read), len(others)), inputs.dtype)
-        hit[np.arange(len(read)), which] = ~inside
-        enter[:, others] = hit.T @ flat
-        g |= {"enter": enter, "bias": flat.sum(axis=1), "turn": hs[:-1].reshape(-1, n).T @ da.reshape(3, -1, n)}
+            dh += d @ back_turn
+        g["turn"] = (hs[:-1].transpose(0, 2, 1) @ da).sum(axis=0).reshape(n, 3, n).transpose(1, 0, 2)
+        da[:, :, 2 * n :] = dnews
+        enter = _sums(da.reshape(-1, 3 * n), before.ravel(), SYMBOLS)
+        g["bias"] = enter.sum(axis=0).reshape(3, n)
+        g["enter"] = enter.reshape(SYMBOLS, 3, n).transpose(1, 0, 2)
+        g = {k: np.ascontiguousarray(x) for k, x in g.items()}
         h = hs[-1]
         self.t += 1
-        size = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
+        size = math.sqrt(sum(float(np.dot(x.ravel(), x.ravel())) for x in g.values()))
         clip = min(1.0, 1.0 / max(size, 1e-9))
         for k, x in g.items():
-            x *= clip
             m, v = self.m[k], self.v[k]
-            m += 0.1 * (x - m)
-            v += 0.01 * (x * x - v)
-            x = np.sqrt(v / (1 - 0.99**self.t))
+            x *= 0.1 * clip
+            m *= 0.9
+            m += x
+            x *= x
+            v *= 0.99
+            v += x
+            np.sqrt(v, out=x)
+            x *= (1 - 0.99**self.t) ** -0.5
             x += 1e-6
             np.divide(m, x, out=x)
-            p[k] -= (rate / (1 - 0.9**self.t)) * x
+            x *= rate / (1 - 0.9**self.t)
+            p[k] -= x
         return h, loss
 
     def learn_stream(self, words: np.ndarray, rate: float, most: int = STREAMS) -> float:
@@ -400,42 +483,81 @@ class Network:
         steps = int(count[0]) if len(count) else 0
         active = np.searchsorted(-count, -np.arange(steps), "left")
         leave, base, inner, inner_base = (self.p[k] for k in ("leave", "base", "inner", "inner_base"))
-        bound, inner_bound, enter = _bound(leave, base), _bound(inner, inner_base), self.p["enter"] + self.p["bias"][:, None]
+        bound, inner_bound, laid = _bound(leave, base), _bound(inner, inner_base), self.laid()
         for a in range(0, steps, WINDOW):
             states, wanted, rows = [], [], []
             for t in range(a, min(a + WINDOW, steps)):
                 n = active[t]
-                h = self.step(h[:n], before[:n], enter)
+                h = self.step(h[:n], before[:n], laid)
                 now = words[start[:n] + t]
                 states.append(h)
                 wanted.append(now)
                 rows.append(np.arange(n))
                 before = now
-            states, want = np.concatenate(states), np.concatenate(wanted)
-            got = np.empty(len(want), np.float32)
-            for b in range(0, len(want), 4096):
-                own, cls = states[b : b + 4096], _CLASS[want[b : b + 4096]]
-                logits = own @ leave
-                logits += base
-                got[b : b + 4096] = logits[np.arange(len(cls)), cls] - _logsumexp(logits, bound)
-            place, at, member, x = self.grouped(want, states)
-            if len(place):
-                z = x @ inner
-                z += inner_base[:, None]
-                z = z.reshape(-1, MEMBERS)
-                got[place] += z[at, member] - _logsumexp(z, inner_bound)[at]
-            total += np.bincount(np.concatenate(rows), weights=got, minlength=len(total))
+            want = np.concatenate(wanted)
+            by_word, edge = _by_word(want)
+            states, want = np.concatenate(states).take(by_word, axis=0), want.take(by_word)
+            got, cls, member = np.empty(len(want), np.float32), _CLASS[want], (want - SINGLES) % MEMBERS
+            for b in range(0, len(want), BLOCK):
+                own = slice(b, b + BLOCK)
+                z = states[own] @ leave
+                z += base
+                got[own] = z[np.arange(len(z)), cls[own]] - _logsumexp(z, bound)
+            for k in range(GROUPS):
+                for b in range(edge[k], edge[k + 1], BLOCK):
+                    own = slice(b, min(b + BLOCK, edge[k + 1]))
+                    z = states[own] @ inner[k]
+                    z += inner_base[k]
+                    got[own] += z[np.arange(len(z)), member[own]] - _logsumexp(z, inner_bound)
+            total += np.bincount(np.concatenate(rows).take(by_word), weights=got, minlength=len(total))
         out = np.zeros(len(total))
         out[order] = total / np.log(10)
         return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    np.negative(x, out=x)
+def _logistic(x: np.ndarray) -> None:
+    """The logistic function of -x, in place."""
     np.exp(x, out=x)
     x += 1
-    return np.reciprocal(x, out=x)
+    np.reciprocal(x, out=x)
+
+
+def _by_word(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of places by their word (-1: none, first), and where in it each group begins."""
+    order = np.argsort((wanted + 1).astype(np.uint16), kind="stable")
+    return order, np.searchsorted(wanted.take(order), SINGLES + np.arange(GROUPS + 1) * MEMBERS).tolist()
+
+
+def _learn_softmax(x: np.ndarray, weights: np.ndarray, bound: float, wanted: np.ndarray, one: float, gradient: np.ndarray, back: np.ndarray) -> float:
+    """Adds to the gradient of the weights and, but for their last row, to that of ``x``; returns the loss."""
+    z, row = x @ weights, np.arange(len(x))
+    total = _exp(z, bound)
+    loss = -float(np.log(np.maximum(z[row, wanted] / total[:, 0], 1e-30)).sum())
+    z *= one / total
+    z[row, wanted] -= one
+    gradient += x.T @ z
+    back += z @ weights[:-1].T
+    return loss
+
+
+def _sums(rows: np.ndarray, key: np.ndarray, size: int) -> np.ndarray:
+    """Sum of the rows of each key below ``size``: of frequent keys by key, of the others by their first row, their second and so on."""
+    order, count = np.argsort(key.astype(np.uint16), kind="stable"), np.bincount(key, minlength=size)
+    begin = np.cumsum(count) - count
+    out = np.zeros((size, rows.shape[1]), rows.dtype)
+    often = np.flatnonzero(count > OFTEN)
+    for k, a, n in zip(often.tolist(), begin[often].tolist(), count[often].tolist(), strict=True):
+        np.add.reduce(rows.take(order[a : a + n], axis=0), axis=0, out=out[k])
+    few = np.flatnonzero((count > 0) & (count <= OFTEN))
+    few = few[np.argsort(-count[few], kind="stable")]
+    if len(few):
+        begin, count = begin[few], -count[few]
+        sums = rows.take(order[begin], axis=0)
+        for i in range(1, -int(count[0])):
+            n = int(np.searchsorted(count, -i, "left"))
+            sums[:n] += rows.take(order[begin[:n] + i], axis=0)
+        out[few] = sums
+    return out
 
 
 def _bound(weights: np.ndarray, base: np.ndarray) -> float:
@@ -448,7 +570,7 @@ def _exp(x: np.ndarray, bound: float) -> np.ndarray:
     if bound > 40:
         x -= x.max(axis=1, keepdims=True)
     np.exp(x, out=x)
-    return x.sum(axis=1, keepdims=True)
+    return x @ np.ones((x.shape[1], 1), x.dtype)
 
 
 def _logsumexp(x: np.ndarray, bound: float = np.inf) -> np.ndarray:
