@@ -83,3 +83,24 @@ def test_word_hashes_do_not_depend_on_their_place():
     whole = _text.word_hashes(data, starts, ends)
     alone = [_text.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0] for w in words]
     assert whole.tolist() == [int(x) for x in alone] and len(set(alone)) == 5
+
+
+def test_runs_share_the_nodes_of_a_common_beginning():
+    """Runs in order give the library's ids, and only nodes behind the shared beginning are looked at."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key):
+            Counted.asked += 1
+            return super().get(key)
+
+    encoder, rng = pieces.Encoder(VOCABULARY), random.Random(8)
+    encoder.kind = Counted(encoder.kind)
+    words = sorted({"unbelievabl" + "".join(rng.choice("aeinrt漢ß") for _ in range(rng.randint(0, 3))) for _ in range(300)} | {"", "un", "x" * 80, "▁▁a"})
+    text = " ".join(words)
+    ids, to = encoder.encode(*_text.text_bytes(pa.array([text, *words])))
+    assert [ids[a:b].tolist() for a, b in zip(to[:-1], to[1:])] == [REF.encode(t) for t in [text, *words]]
+    assert Counted.asked < 12 * len(words)
+    alone = [encoder.run_ids([w])[0] for w in words]
+    assert encoder.run_ids(words) == alone and encoder.run_ids(words[::-1]) == alone[::-1]

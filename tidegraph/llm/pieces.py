@@ -12,7 +12,8 @@ dropped.  Memory is a window, whatever the length of the text.
 
 Where no piece holds a space mark after another character, the start of a run of
 spaces is a boundary of every path; runs between such boundaries are encoded once and
-kept in a table of bounded size.
+kept in a table of bounded size.  New runs are taken in order, and each goes on from the
+nodes that it shares with the one before.
 
 Decoding joins the pieces' bytes, byte pieces as their byte, and drops the first space.
 
@@ -199,35 +200,56 @@ class Encoder:
         self.known: dict[int, tuple[int, ...]] = {}
         self.older: dict[int, tuple[int, ...]] = {}
         self.lattice = Lattice(vocabulary)
+        # Of each beginning of a piece: its ids if it is a piece itself, and whether it goes on to others.
+        self.kind: dict[str, tuple[tuple[int, ...] | None, bool]] = dict.fromkeys(vocabulary.starts, (None, True))
+        self.kind |= {p: ((i,), p in vocabulary.starts) for p, i in vocabulary.id.items()}
         self.piece_at = np.concatenate([[0], np.cumsum([len(b) for b in vocabulary.bytes])])
         self.piece_bytes = np.frombuffer(b"".join(vocabulary.bytes), np.uint8)
 
-    def run_ids(self, run: str) -> tuple[int, ...]:
-        if len(run) > 64:
-            ids = list(self.lattice.feed(run))
-            return (*ids, *self.lattice.finish())
-        # A run that fits the window: the same steps without the bookkeeping of commits.
-        # From each node, pieces are tried while they begin some piece of the vocabulary.
-        size = len(run)
-        last: list[str | None] = [None] * (size + 1)
-        rank, starts, stable, follows = self.v.rank, self.v.starts, self.lattice.stable, self.lattice._follows
-        for j in range(size):
-            before, n = last[j], j + 1
-            piece = run[j]
-            while True:
-                if last[n] is None and (piece in rank or n == j + 1):
-                    key = (before, piece)
-                    if stable[key] if key in stable else follows(before, piece):
-                        last[n] = piece
+    def run_ids(self, runs: list[str]) -> list[tuple[int, ...]]:
+        """Ids of each run; best in sorted order, as a run keeps the nodes of the beginning it shares with the one before."""
+        out, before = [], ""
+        # Of each node: the surviving piece into it, the ids up to it, and the earlier nodes from which pieces may go on.
+        last: list[str | None] = [None]
+        ids: list[tuple[int, ...]] = [()]
+        live: list[list[int]] = [[]]
+        kind, stable, follows, ids_of = self.kind, self.lattice.stable, self.lattice._follows, self.lattice.ids_of
+        for run in runs:
+            if len(run) > 64:
+                head = list(self.lattice.feed(run))
+                out.append((*head, *self.lattice.finish()))
+                continue
+            # A run that fits the window: the same steps without the bookkeeping of commits.
+            n, size = 0, min(len(run), len(before))
+            while n < size and run[n] == before[n]:
                 n += 1
-                if n > size or piece not in starts:
-                    break
-                piece = run[j:n]
-        out, n, ids_of = [], len(run), self.lattice.ids_of
-        while n:
-            out.append(last[n])
-            n -= len(last[n])
-        return tuple(chain.from_iterable(map(ids_of, reversed(out))))
+            del last[n + 1 :], ids[n + 1 :], live[n + 1 :]
+            before = run
+            for n in range(n + 1, len(run) + 1):
+                survivor, on = None, []
+                for j in (*live[-1], n - 1):
+                    piece = run[j:n]
+                    known = kind.get(piece)
+                    if known is None:
+                        if j < n - 1:
+                            continue
+                        known = tuple(ids_of(piece)), False
+                    own, more = known
+                    if more:
+                        on.append(j)
+                        if own is None and j == n - 1:
+                            own = tuple(ids_of(piece))
+                    if survivor is None and own is not None:
+                        key = (last[j], piece)
+                        if stable[key] if key in stable else follows(*key):
+                            survivor = piece
+                            ids.append(ids[j] + own)
+                if survivor is None:
+                    raise AssertionError("no path reaches a node")
+                last.append(survivor)
+                live.append(on)
+            out.append(ids[-1])
+        return out
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows end to end, and the rows' offsets in them."""
@@ -252,18 +274,21 @@ class Encoder:
             seen: dict[bytes, int] = {}
             inverse = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
             first = np.unique(inverse, return_index=True)[1]
+        new: list[tuple[bytes, int]] = []
         for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True):
             h = raw[a:b]
             ids = self.known.get(h)
             if ids is None:
                 ids = self.older.get(h)
                 if ids is None:
-                    ids = self.run_ids(h.decode("utf-8", "replace").replace(" ", MARK))
-                if b - a <= 64:
-                    if len(self.known) >= CACHE:
-                        self.older, self.known = self.known, {}
-                    self.known[h] = ids
+                    new.append((h, len(found)))
+                else:
+                    self._keep(h, ids)
             found.append(ids)
+        new.sort()
+        for (h, i), ids in zip(new, self.run_ids([h.decode("utf-8", "replace").replace(" ", MARK) for h, _ in new]), strict=True):
+            found[i] = ids
+            self._keep(h, ids)
         size = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))
         begin = np.cumsum(size) - size
@@ -272,6 +297,12 @@ class Encoder:
         out = flat[np.arange(total[-1]) - np.repeat(total[:-1] - begin[inverse], count)]
         return out, total[np.searchsorted(starts, to)]
 
+    def _keep(self, run: bytes, ids: tuple[int, ...]) -> None:
+        if len(run) <= 64:
+            if len(self.known) >= CACHE:
+                self.older, self.known = self.known, {}
+            self.known[run] = ids
+
     @staticmethod
     def _space(data: np.ndarray) -> np.ndarray:
         """True on spaces and on the first byte of the mark U+2581 (its other bytes count as spaces too)."""
