@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegraph.functions import powerlaw, stats
-from tidegraph.operators import depth, distance
+from tidegraph.operators import classes, depth, distance
 from tidegraph.plans import queries, registry, testgraph
 from tidegraph.sources import files, sinks
 
@@ -119,6 +119,29 @@ def test_exact_distances_list_no_pairs(spark, monkeypatch, directed):
     assert found() == want
 
 
+def test_exact_distances_by_classes(spark, monkeypatch):
+    """Edges to higher ids, with twins, repeated edges, loops and several blocks, bits and parts; a large component is no hindrance."""
+    rng = np.random.default_rng(6)
+    ends = np.sort(rng.integers(0, 120, (160, 2)), axis=1)
+    twins = np.array([(300, 400 + i) for i in range(40)] + [(j, 300) for j in range(5)] + [(200 + i, 400 + j) for i in range(30) for j in range(20, 25)])
+    ends = np.concatenate([ends, ends[:20], twins])
+    step = {(a, b) for a, b in ends.tolist() if a != b}
+    want, seen = {}, {(a, a) for a, _ in step}
+    front, d = seen, 0
+    while front:
+        front = {(a, y) for a, b in front for x, y in step if x == b} - seen
+        seen, d = seen | front, d + 1
+        want |= {d: len(front)} if front else {}
+    nodes, edges = spark.range(500).withColumnRenamed("id", "node_id"), spark.createDataFrame([*map(tuple, ends.tolist()), (2, None)], "src long, dst long")
+    monkeypatch.setattr(distance, "_by_pairs", None)
+    monkeypatch.setattr(classes, "BLOCK", 20)
+    assert {r.distance: r.pairs for r in distance.exact(nodes, edges, task_edges=0).collect()} == want
+    monkeypatch.setattr(classes, "TABLES", 1)
+    monkeypatch.setattr(classes, "PART", 1)
+    monkeypatch.setattr(classes, "BLOCK", 1000)
+    assert {r.distance: r.pairs for r in distance.exact(nodes, edges, task_edges=0).collect()} == want
+
+
 def test_sketches_of_the_whole_graph(spark):
     t = testgraph.graph(spark, "/root/testdata/sf0.001")
     after = {r.node_id: [] for r in t["nodes"].select("node_id").collect()}
