@@ -160,6 +160,32 @@ def test_sketches_of_the_whole_graph(spark):
     assert found["avg_distance"] == pytest.approx(exact, rel=0.05) and abs(found["diameter"] - (len(pairs) - 1)) <= 1
 
 
+def test_sketches_by_classes(spark, monkeypatch):
+    """Slices of all sketches give what whole ones give, and what plain sketches of every node give; no table of sketches is written."""
+    rng = np.random.default_rng(7)
+    ends = np.sort(rng.integers(0, 400, (700, 2)), axis=1)
+    ends = np.concatenate([ends, [(400, 500 + i) for i in range(60)], [(j, 400) for j in range(9)]])
+    step = sorted({(a, b) for a, b in ends.tolist() if a != b})
+    nodes, edges = spark.range(600).withColumnRenamed("id", "node_id"), spark.createDataFrame([*step, step[0]], "src long, dst long")
+    names, plain = [], distance.scratch.materialize
+    monkeypatch.setattr(distance.scratch, "materialize", lambda df, name, *a: names.append(name) or plain(df, name, *a))
+    found = {r.distance: r.reached for r in distance.hyperball(nodes, edges).collect()}
+    assert "balls" not in names
+    for name, value in (("SLICES", 50), ("RANGE", 64), ("PACK", 40), ("PART", 1)):
+        monkeypatch.setattr(classes, name, value)
+    assert {r.distance: r.reached for r in distance.hyperball(nodes, edges).collect()} == pytest.approx(found)
+    at, value = classes._hashed(np.arange(600), 10)
+    ball = np.zeros((600, 1024), np.uint8)
+    ball[np.arange(600), at] = value
+    for d in range(1, len(found)):
+        near = ball.copy()
+        for a, b in step:
+            near[a] = np.maximum(near[a], ball[b])
+        ball = near
+        assert classes._estimates(classes._terms(10)[ball].sum(axis=1), 10).sum() == pytest.approx(found[d], rel=0.01)
+    assert found[0] == 600 and len(found) > 6 and all((np.maximum(ball[a], ball[b]) == ball[a]).all() for a, b in step)
+
+
 def test_sketches_raise_on_a_cap(spark):
     nodes, edges = spark.range(6).withColumnRenamed("id", "node_id"), spark.range(5).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     with pytest.raises(RuntimeError):
